@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ewpanel.llm.common import new_path
 from ewpanel.llm.exact_dedup import DigestIndex, dedup
 from ewpanel.llm.jaccard_join import jaccard_components
+from ewpanel.llm.line_dedup import line_dedup
 from ewpanel.llm.packing import pack
 from ewpanel.llm.token_files import read_token_files, write_token_files
 
@@ -27,12 +28,16 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
     return read_token_files(spark, written.collect())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op6_ngram_jaccard_join, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_line_dedup, op10_token_files)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
