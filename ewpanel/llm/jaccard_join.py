@@ -13,6 +13,8 @@ from ewpanel.llm.common import mix64, stage_table, text_slices
 from ewpanel.llm.components import components
 from ewpanel.llm.words import shingle_sets
 
+SLACK = 4  # segments for each one that may be left out
+FEW = 16  # sets around a centre that are paired as they are
 GROWTH = 1.6  # of a size band's upper end over the last band's
 
 
@@ -25,8 +27,11 @@ class Bands:
     2**64 token hashes, dealt to D + 1 + t segments; a token in one set only
     changes one segment, so the number of segments that differ is a lower bound of
     the symmetric difference, and at least t + 1 segments of a linked pair agree.
-    A segment is represented by the exclusive or of its tokens' hashes. Up to t
-    empty segments need not be looked up: one of the agreeing segments isn't empty.
+    A segment is represented by the exclusive or of its tokens' hashes. Segments with
+    few tokens are often equal by chance, so each set leaves out those with fewer than
+    w tokens, w as large as leaves out at most t. This loses no pair: agreeing
+    segments hold the same tokens in both sets, and of the t + 1 at most t have fewer
+    tokens than the larger w of the two.
     """
 
     def __init__(self, percent: int):
@@ -46,7 +51,7 @@ class Bands:
         """Number of segments and the slack t."""
         self.of(self.upper[-1] + 1 if band >= len(self.upper) else 1)
         differ = (100 - self.percent) * 2 * self.upper[band] // (100 + self.percent)
-        slack = 1 + (differ + 1) // 20 if differ >= 4 else 0
+        slack = (differ + 1) // SLACK
         return differ + 1 + slack, slack
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
@@ -59,10 +64,15 @@ class Bands:
             place, mixed = place[order], mix64(tokens[order] + np.uint64(1))
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             used, parity = place[first], np.bitwise_xor.reduceat(mixed, first)
+            size = np.diff(np.append(first, len(place)))
+            fewer = segments - len(used) + np.cumsum(np.bincount(size))
             if segments - len(used) > slack:
                 every = np.zeros(segments, np.uint64)
                 every[used.astype(np.int64)] = parity
                 used, parity = np.arange(segments, dtype=np.uint64), every
+            else:
+                dense = size >= np.searchsorted(fewer, slack, "right")
+                used, parity = used[dense], parity[dense]
             out.append(mix64(parity ^ mix64(used + np.uint64((band + 1) << 40))))
         return np.concatenate(out)
 
@@ -71,19 +81,66 @@ def _set_hash(tokens: np.ndarray) -> int:
     return int(mix64(np.array([mix64(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def token_sets(docs: DataFrame, width: int, with_tokens: bool) -> DataFrame:
-    """id, n (size of the set), fp (hash of the set, null if empty) and, if asked, the tokens as sorted 64-bit words."""
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """One parity bit for each of 2**k token hashes, two to four for each token; the upper half folds onto the lower."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix64(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of the sets behind two sketches."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketched_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, n (size of the set), fp (hash of the set, null if empty) and its parity sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), width)
-            columns = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64())]
-            names = ["id", "n", "fp"]
-            if with_tokens:
-                columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-                names.append("tokens")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "fp", "sketch"])
+
+    return docs.mapInArrow(run, "id long, n long, fp long, sketch binary")
+
+
+FILTER_BITS = 1 << 25  # of the id filter, 4 MB, whatever the input
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """fp and tokens (sorted 64-bit words) of the documents whose id is among ``wanted``, and perhaps of some others.
+
+    The wanted ids go to the tasks as a Bloom filter of fixed size, so no text is
+    shuffled. If they are too many for it more documents pass, never fewer.
+    """
+    spark = docs.sparkSession
+    bit = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2, 3)]))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        held[r.word] = r.bits
+    shared = spark.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in text_slices(batches, "text"):
+            keep = np.ones(batch.num_rows, bool)
+            for k in ("h1", "h2", "h3"):
+                h = batch.column(k).to_numpy()
+                keep &= (bits[h >> 6] >> (h & 63)) & 1 == 1
+            chosen = batch.filter(pa.array(keep))
+            sets = [s for s in shingle_sets(chosen.column("text"), width) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "tokens"])
 
-    return docs.mapInArrow(run, "id long, n long, fp long" + ", tokens binary" * with_tokens)
+    hashed = docs.select("text", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"h{k}") for k in (1, 2, 3)])
+    return hashed.mapInArrow(run, "fp long, tokens binary")
 
 
 def _sketch_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -121,6 +178,21 @@ def _bucket_centres(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "c long, x long").distinct()
 
 
+def _screen(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, x) with their sizes nc, nx and whether their sketches leave a link possible."""
+    gap, whole = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit = gap * (batch.column("nc").to_numpy() + batch.column("nx").to_numpy())
+            near = [whole * sketch_distance(a, b) <= m for a, b, m in zip(batch.column("sc").to_pylist(), batch.column("sx").to_pylist(), limit.tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("c", "x", "nc", "nx")), pa.array(near, pa.bool_())], ["c", "x", "nc", "nx", "near"])
+
+    side = lambda k: sketches.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    joined = pairs.join(side("c"), "c").join(side("x"), "x").select("c", "x", "nc", "nx", "sc", "sx")
+    return joined.mapInArrow(run, "c long, x long, nc long, nx long, near boolean")
+
+
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, with_rest: bool) -> DataFrame:
     """For each pair (c, x) its sizes, the symmetric difference, whether it is linked and, if asked, the rest tokens.
 
@@ -143,7 +215,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, with_rest: bool)
                     if linked:
                         least = (whole * differ + gap * (len(a) - len(b))) // (2 * whole) + 1
                     else:
-                        least = max(1, -((gap * (len(a) + len(b)) - whole * differ) // (2 * whole)))
+                        least = max(1, -((gap * (len(a) + len(b)) - whole * differ) // (2 * whole)), differ - gap * (len(b) + 100 * len(b) // percent) // whole)
                     own = np.setdiff1d(b, common, assume_unique=True)
                     rest = np.concatenate([own, np.setdiff1d(a, common, assume_unique=True)])[: max(0, differ - least + 1)].view(np.int64)
                 rows.append((c, x, len(a), len(b), differ, linked, rest))
@@ -156,26 +228,25 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, with_rest: bool)
     return joined.mapInArrow(run, "c long, x long, nc long, nx long, differ long, linked boolean, rest array<long>")
 
 
-def _around_centres(found: DataFrame, percent: int) -> DataFrame:
+def _around_centres(found: DataFrame, few: int, percent: int) -> DataFrame:
     """Pairs (x, y) of sets around one centre c that may be linked although not both are linked with c.
 
-    Where few sets lie around c they are paired as they are. Else: let d(x) be the
-    difference of x from c, with a tokens, and d(y) that of y with b tokens. A pair
-    that is linked has |d(x) & d(y)| >= (a + b - D(x, y)) / 2, which is at least one
-    if x isn't linked with c. So the pair shares a token among the first of both
-    (prefix filter), and the places of that token bound what else can be shared.
+    Where at most ``few`` sets lie around c they are paired as they are. Else: let
+    d(x) be the difference of x from c, with a tokens, and d(y) that of y with b
+    tokens. A pair that is linked has |d(x) & d(y)| >= (a + b - D(x, y)) / 2, which is
+    at least one if x isn't linked with c, and |a - b| <= D(x, y). So the pair shares a
+    token among the first of both (prefix filter), and the places of that token bound
+    what else can be shared.
     """
     gap, whole = 100 - percent, 100 + percent
-    around = found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("failed"))
-    around = stage_table(around.where("failed > 0 and members > 1").withColumn("few", F.expr("failed * members <= 256")), "centres")
     near = lambda p, q: F.col(f"{p}.nx") * 100 >= F.col(f"{q}.nx") * percent
     ordered = (~F.col("q.linked") & (F.col("p.x") < F.col("q.x"))) | (F.col("q.linked") & (F.col("p.x") != F.col("q.x")))
+    open_ = F.col("failed") > 0
 
-    small = found.join(around.where("few"), "c").select("c", "x", "nx", "linked")
+    small = found.where(open_ & (F.col("members") <= few) & (F.col("members") > 1)).select("c", "x", "nx", "linked")
     direct = (small.where("not linked").alias("p").join(small.alias("q"), F.col("p.c") == F.col("q.c"))
               .where(ordered & near("p", "q") & near("q", "p")).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
-    spread = (found.join(around.where("not few"), "c")
-              .select("c", "x", "nx", "differ", "linked", F.posexplode("rest").alias("place", "token")))
+    spread = found.where(open_ & (F.col("members") > few)).select("c", "x", "nx", "differ", "linked", F.posexplode("rest").alias("place", "token"))
     least = F.expr(f"ceil(({whole} * (p.differ + q.differ) - {gap} * (p.nx + q.nx)) / {2 * whole})")
     most = 1 + F.least(F.col("p.differ") - 1 - F.col("p.place"), F.col("q.differ") - 1 - F.col("q.place"))
     shared = (spread.where("not linked").alias("p").join(spread.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.token") == F.col("q.token"))
@@ -196,21 +267,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     Other columns are ignored.
 
     Buckets of equal sketch segments are never expanded into pairs: each set is
-    verified against its bucket's smallest set, and only sets around one that isn't
+    compared with its bucket's smallest set, by their parity sketches first and by
+    their tokens if those leave a link possible; and only sets around one that isn't
     linked with it are compared further, by the tokens in which they differ from it.
     All verified links together connect exactly what all links connect.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage_table(token_sets(docs, width, False), "sets")
-    centres = stage_table(_bucket_centres(_sketch_keys(docs, width, percent)), "bucket-pairs")
-    needed = centres.select(F.col("c").alias("fp")).union(centres.select(F.col("x").alias("fp"))).distinct()
+    sets = stage_table(sketched_sets(docs, width), "sets")
     first = stage_table(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id")), "set-ids")
-    source = stage_table(first.join(needed, "fp", "left_semi").select("id", "fp"), "needed-ids")
-    texts = docs.join(source.select("id").distinct().withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    tokens = token_sets(texts, width, True).join(source.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("tokens").alias("tokens"))
-    tokens = stage_table(tokens, "tokens")
-    found = stage_table(_verify(centres, tokens, percent, True), "verified")
-    more = stage_table(_verify(stage_table(_around_centres(found, percent), "rest-pairs"), tokens, percent, False), "verified-rest")
+    centres = stage_table(_bucket_centres(_sketch_keys(docs, width, percent)), "bucket-pairs")
+    ends = centres.select(F.col("c").alias("fp")).union(centres.select(F.col("x").alias("fp"))).distinct()
+    sketches = stage_table(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sketch"), "sketches")
+    screened = stage_table(_screen(centres, sketches, percent), "screened")
+    around = stage_table(screened.groupBy("c").agg(F.count(F.lit(1)).alias("members")), "centre-sizes")
+    screened = stage_table(screened.join(around, "c"), "screened-sizes")
+    exact = (F.col("members") > FEW) | F.col("near")
+    open_ = screened.where(exact).select(F.col("c").alias("fp")).union(screened.where(exact).select(F.col("x").alias("fp"))).distinct()
+    few = screened.where(F.col("members").between(2, FEW)).select(F.col("x").alias("fp")).distinct()
+    tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width), "tokens")
+    found = _verify(screened.where(exact).select("c", "x"), tokens, percent, True)
+    found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>")))
+    found = stage_table(found, "verified")
+    around = stage_table(found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("failed")), "centres")
+    rest = stage_table(_around_centres(stage_table(found.join(around, "c"), "verified-sizes"), FEW, percent), "rest-pairs")
+    rest = stage_table(_screen(rest, sketches, percent), "rest-screened").where("near").select("c", "x")
+    more = stage_table(_verify(rest, tokens, percent, False), "verified-rest")
     links = found.where("linked").select("c", "x").union(more.where("linked").select("c", "x"))
     node = components(links, "c", "x")
     labelled = stage_table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")

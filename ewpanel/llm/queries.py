@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ewpanel.llm.common import new_path
 from ewpanel.llm.exact_dedup import DigestIndex, dedup
 from ewpanel.llm.jaccard_join import jaccard_components
+from ewpanel.llm.language_id import fit_samples, held_out, identify
 from ewpanel.llm.line_dedup import line_dedup
 from ewpanel.llm.packing import pack
 from ewpanel.llm.token_files import read_token_files, write_token_files
+from ewpanel.llm.topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark))
 
@@ -32,14 +40,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    samples = fit_samples(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), samples).drop("text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
     return read_token_files(spark, written.collect())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_topk_search, op2_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_line_dedup, op8_language_id, op10_token_files,
+)}
 
 ORACLE_SQL = {
+    "op1_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10""",
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT doc_id, sha256(t) AS h FROM d)
