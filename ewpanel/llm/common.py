@@ -31,15 +31,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     Cuts the lineage: what is built on the result neither recomputes ``df`` nor
-    depends on the shuffle files of an executor that may be lost.
+    depends on the shuffle files of an executor that may be lost. ``batch_bytes``
+    bounds the Arrow batches of this write, for rows that may be long.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_bytes:
+            spark.conf.set(key, str(batch_bytes))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from ewpanel.llm.common import mix64, stage_table, text_slices
 from ewpanel.llm.components import components
 from ewpanel.llm.words import shingle_sets
 
+SLICE = 2 << 20  # bytes of text that are hashed at a time
 SLACK = 4  # segments for each one that may be left out
 FEW = 16  # sets around a centre that are paired as they are
 GROWTH = 1.6  # of a size band's upper end over the last band's
@@ -101,7 +102,7 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 def sketched_sets(docs: DataFrame, width: int) -> DataFrame:
     """id, n (size of the set), fp (hash of the set, null if empty) and its parity sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
@@ -129,7 +130,7 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             keep = np.ones(batch.num_rows, bool)
             for k in ("h1", "h2", "h3"):
                 h = batch.column(k).to_numpy()
@@ -146,7 +147,7 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _sketch_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             sets = {_set_hash(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
             sets = {fp: s for fp, s in sets.items() if fp not in seen}  # copies within a partition go once
             seen.update(sets)
@@ -287,11 +288,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width), "tokens")
     found = _verify(screened.where(exact).select("c", "x"), tokens, percent, True)
     found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>")))
-    found = stage_table(found, "verified")
+    found = stage_table(found, "verified", 16 << 20)
     around = stage_table(found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("failed")), "centres")
     rest = stage_table(_around_centres(stage_table(found.join(around, "c"), "verified-sizes"), FEW, percent), "rest-pairs")
     rest = stage_table(_screen(rest, sketches, percent), "rest-screened").where("near").select("c", "x")
-    more = stage_table(_verify(rest, tokens, percent, False), "verified-rest")
+    more = stage_table(_verify(rest, tokens, percent, False), "verified-rest", 16 << 20)
     links = found.where("linked").select("c", "x").union(more.where("linked").select("c", "x"))
     node = components(links, "c", "x")
     labelled = stage_table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")

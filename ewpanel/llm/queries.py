@@ -10,9 +10,12 @@ from ewpanel.llm.exact_dedup import DigestIndex, dedup
 from ewpanel.llm.jaccard_join import jaccard_components
 from ewpanel.llm.language_id import fit_samples, held_out, identify
 from ewpanel.llm.line_dedup import line_dedup
+from ewpanel.llm.mixing import taken_words
 from ewpanel.llm.packing import pack
+from ewpanel.llm.substring_dedup import substring_dedup
 from ewpanel.llm.token_files import read_token_files, write_token_files
 from ewpanel.llm.topk_search import top_k
+from ewpanel.llm.warc_archive import archive_pages, read_packages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -46,16 +57,31 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), samples).drop("text")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_packages(archive_pages(_table(spark, sf_dir, "pages"), new_path(spark, "warc")))
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
     return read_token_files(spark, written.collect())
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_topk_search, op2_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_line_dedup, op8_language_id, op10_token_files,
+    op1_topk_search, op2_exact_dedup, op3_substring_dedup, op4_packing, op5_mixing, op6_ngram_jaccard_join, op7_line_dedup,
+    op8_language_id, op9_warc, op10_token_files,
 )}
 
 ORACLE_SQL = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM m""",
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
