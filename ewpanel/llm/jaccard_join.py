@@ -15,6 +15,7 @@ from ewpanel.llm.words import shingle_sets
 
 SLICE = 2 << 20  # bytes of text that are hashed at a time
 SLACK = 4  # segments for each one that may be left out
+SMALL = ["small0", "small1", "small2", "small3"]  # a parity sketch of 256 bits
 FEW = 16  # sets around a centre that are paired as they are
 GROWTH = 1.6  # of a size band's upper end over the last band's
 
@@ -114,19 +115,48 @@ def sketched_sets(docs: DataFrame, width: int) -> DataFrame:
 FILTER_BITS = 1 << 25  # of the id filter, 4 MB, whatever the input
 
 
+def _filter_of(rows: DataFrame, places: list):
+    """A broadcast bit table of FILTER_BITS bits in which the places of all rows are set."""
+    words = rows.select(F.explode(F.array(*places)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        held[r.word] = r.bits
+    return rows.sparkSession.sparkContext.broadcast(held)
+
+
+def _common_tokens(docs: DataFrame, width: int):
+    """A filter of the tokens that are frequent in every 16th document.
+
+    Only the order in which tokens are looked up depends on it, never what is found.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            sets = shingle_sets(batch.column("text"), width)
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(16)) == 0).select("text").mapInArrow(run, "token long")
+    often = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    low = F.lit(FILTER_BITS - 1).cast("long")
+    return _filter_of(often, [F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", 25).bitwiseAND(low)])
+
+
+def _is_common(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    low = np.uint64(FILTER_BITS - 1)
+    out = np.ones(len(tokens), bool)
+    for h in (tokens & low, (tokens >> np.uint64(25)) & low):
+        h = h.astype(np.int64)
+        out &= (bits[h >> 6] >> (h & 63)) & 1 == 1
+    return out
+
+
 def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp and tokens (sorted 64-bit words) of the documents whose id is among ``wanted``, and perhaps of some others.
 
     The wanted ids go to the tasks as a Bloom filter of fixed size, so no text is
     shuffled. If they are too many for it more documents pass, never fewer.
     """
-    spark = docs.sparkSession
-    bit = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2, 3)]))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        held[r.word] = r.bits
-    shared = spark.sparkContext.broadcast(held)
+    shared = _filter_of(wanted, [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2, 3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -160,7 +190,11 @@ def _sketch_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _bucket_centres(keys: DataFrame) -> DataFrame:
-    """(c, x) for every set x of a bucket and the bucket's smallest set c; buckets stream by, sorted, none is held."""
+    """(c, x) for every set x of a bucket and the bucket's centre c; buckets stream by, sorted, none is held.
+
+    The centre is the set that a hash with the bucket's key puts first, so a group of
+    similar sets meets many centres in its many buckets.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, 0
         for batch in batches:
@@ -176,7 +210,8 @@ def _bucket_centres(keys: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([centre[other], fp[other]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "x"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "c long, x long").distinct()
+    ordered = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "fp"), "fp")
+    return ordered.mapInArrow(run, "c long, x long").distinct()
 
 
 def _screen(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -194,12 +229,13 @@ def _screen(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "c long, x long, nc long, nx long, near boolean")
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, with_rest: bool) -> DataFrame:
-    """For each pair (c, x) its sizes, the symmetric difference, whether it is linked and, if asked, the rest tokens.
+def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, common=None) -> DataFrame:
+    """For each pair (c, x) its sizes, the symmetric difference, whether it is linked and, given a filter of common tokens, the rest tokens.
 
-    ``rest``: the first tokens of the difference of x from c, those of x alone
-    before those of c alone, as many as two sets around c must look up to be found
-    if at least one of them isn't linked with c (see ``_around_centres``).
+    ``rest``: the first tokens of the difference of x from c, rare ones of x alone
+    first, then common ones, then those of c alone, as many as two sets around c must
+    look up to be found if at least one of them isn't linked with c (see
+    ``_around_centres``).
     """
     gap, whole = 100 - percent, 100 + percent
 
@@ -208,50 +244,54 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, with_rest: bool)
             rows = []
             for c, x, a, b in zip(batch.column("c").to_pylist(), batch.column("x").to_pylist(), batch.column("tc"), batch.column("tx")):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = np.intersect1d(a, b, assume_unique=True)
-                differ = len(a) + len(b) - 2 * len(common)
+                both = np.intersect1d(a, b, assume_unique=True)
+                differ = len(a) + len(b) - 2 * len(both)
                 linked = whole * differ <= gap * (len(a) + len(b))
                 rest = None
-                if with_rest:
+                if common is not None:
                     if linked:
                         least = (whole * differ + gap * (len(a) - len(b))) // (2 * whole) + 1
                     else:
                         least = max(1, -((gap * (len(a) + len(b)) - whole * differ) // (2 * whole)), differ - gap * (len(b) + 100 * len(b) // percent) // whole)
-                    own = np.setdiff1d(b, common, assume_unique=True)
-                    rest = np.concatenate([own, np.setdiff1d(a, common, assume_unique=True)])[: max(0, differ - least + 1)].view(np.int64)
-                rows.append((c, x, len(a), len(b), differ, linked, rest))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["c", "x", "nc", "nx", "differ", "linked", "rest"])
+                    own = np.setdiff1d(b, both, assume_unique=True)
+                    often = _is_common(own, common.value)
+                    rest = np.concatenate([own[~often], own[often], np.setdiff1d(a, both, assume_unique=True)])[: max(0, differ - least + 1)].view(np.int64)
+                small = np.packbits((np.bincount((b & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                rows.append((c, x, len(a), len(b), differ, linked, rest, *small.tolist()))
+            columns = list(zip(*rows)) if rows else [[]] * 11
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["c", "x", "nc", "nx", "differ", "linked", "rest", *SMALL])
 
     joined = (pairs.join(tokens.select(F.col("fp").alias("c"), F.col("tokens").alias("tc")), "c")
               .join(tokens.select(F.col("fp").alias("x"), F.col("tokens").alias("tx")), "x").select("c", "x", "tc", "tx"))
-    return joined.mapInArrow(run, "c long, x long, nc long, nx long, differ long, linked boolean, rest array<long>")
+    return joined.mapInArrow(run, "c long, x long, nc long, nx long, differ long, linked boolean, rest array<long>, " + ", ".join(f"{k} long" for k in SMALL))
 
 
 def _around_centres(found: DataFrame, few: int, percent: int) -> DataFrame:
     """Pairs (x, y) of sets around one centre c that may be linked although not both are linked with c.
 
-    Where at most ``few`` sets lie around c they are paired as they are. Else: let
+    Sets that are already of one component need no comparison. Where at most ``few`` sets lie around c they are paired as they are. Else: let
     d(x) be the difference of x from c, with a tokens, and d(y) that of y with b
     tokens. A pair that is linked has |d(x) & d(y)| >= (a + b - D(x, y)) / 2, which is
     at least one if x isn't linked with c, and |a - b| <= D(x, y). So the pair shares a
-    token among the first of both (prefix filter), and the places of that token bound
-    what else can be shared.
+    token among the first of both (prefix filter), the places of that token bound what
+    else can be shared, and parity sketches of 256 bits bound their difference.
     """
     gap, whole = 100 - percent, 100 + percent
     near = lambda p, q: F.col(f"{p}.nx") * 100 >= F.col(f"{q}.nx") * percent
-    ordered = (~F.col("q.linked") & (F.col("p.x") < F.col("q.x"))) | (F.col("q.linked") & (F.col("p.x") != F.col("q.x")))
-    open_ = F.col("failed") > 0
+    ordered = (F.col("p.component") != F.col("q.component")) & ((~F.col("q.linked") & (F.col("p.x") < F.col("q.x"))) | F.col("q.linked"))
+    open_ = F.col("first") < F.col("last")
 
-    small = found.where(open_ & (F.col("members") <= few) & (F.col("members") > 1)).select("c", "x", "nx", "linked")
+    small = found.where(open_ & (F.col("members") <= few)).select("c", "x", "nx", "linked", "component")
     direct = (small.where("not linked").alias("p").join(small.alias("q"), F.col("p.c") == F.col("q.c"))
               .where(ordered & near("p", "q") & near("q", "p")).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
-    spread = found.where(open_ & (F.col("members") > few)).select("c", "x", "nx", "differ", "linked", F.posexplode("rest").alias("place", "token"))
+    spread = found.where(open_ & (F.col("members") > few)).select("c", "x", "nx", "differ", "linked", "component", *SMALL, F.posexplode("rest").alias("place", "token"))
+    apart = sum((F.bit_count(F.col(f"p.{k}").bitwiseXOR(F.col(f"q.{k}"))) for k in SMALL), F.lit(0))
+    possible = apart * whole <= (F.col("p.nx") + F.col("q.nx")) * gap
     least = F.expr(f"ceil(({whole} * (p.differ + q.differ) - {gap} * (p.nx + q.nx)) / {2 * whole})")
     most = 1 + F.least(F.col("p.differ") - 1 - F.col("p.place"), F.col("q.differ") - 1 - F.col("q.place"))
     shared = (spread.where("not linked").alias("p").join(spread.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.token") == F.col("q.token"))
-              & ordered & near("p", "q") & near("q", "p") & (most >= least)).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
+              & ordered & near("p", "q") & near("q", "p") & (most >= least) & possible).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
     pairs = direct.union(shared).select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct()
     return pairs.join(found.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")), ["c", "x"], "left_anti")
 
@@ -268,7 +308,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     Other columns are ignored.
 
     Buckets of equal sketch segments are never expanded into pairs: each set is
-    compared with its bucket's smallest set, by their parity sketches first and by
+    compared with its bucket's centre, by their parity sketches first and by
     their tokens if those leave a link possible; and only sets around one that isn't
     linked with it are compared further, by the tokens in which they differ from it.
     All verified links together connect exactly what all links connect.
@@ -286,13 +326,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     open_ = screened.where(exact).select(F.col("c").alias("fp")).union(screened.where(exact).select(F.col("x").alias("fp"))).distinct()
     few = screened.where(F.col("members").between(2, FEW)).select(F.col("x").alias("fp")).distinct()
     tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width), "tokens")
-    found = _verify(screened.where(exact).select("c", "x"), tokens, percent, True)
-    found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>")))
+    found = _verify(screened.where(exact).select("c", "x"), tokens, percent, _common_tokens(docs, width))
+    found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>"), *[F.lit(None).cast("long")] * 4))
     found = stage_table(found, "verified", 16 << 20)
-    around = stage_table(found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("failed")), "centres")
+    node = components(found.where("linked").select("c", "x"), "c", "x")
+    found = stage_table(found.join(node, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node"), "verified-components")
+    around = found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("first"), F.max("component").alias("last"))
+    around = stage_table(around, "centres")
     rest = stage_table(_around_centres(stage_table(found.join(around, "c"), "verified-sizes"), FEW, percent), "rest-pairs")
     rest = stage_table(_screen(rest, sketches, percent), "rest-screened").where("near").select("c", "x")
-    more = stage_table(_verify(rest, tokens, percent, False), "verified-rest", 16 << 20)
+    more = stage_table(_verify(rest, tokens, percent), "verified-rest", 16 << 20)
     links = found.where("linked").select("c", "x").union(more.where("linked").select("c", "x"))
     node = components(links, "c", "x")
     labelled = stage_table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")
