@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ONE = F.lit(1)
 
 
 def confusion(df: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
@@ -20,9 +19,9 @@ def confusion(df: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
         F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return out.withColumns({
-        "precision": F.col("tp") / F.greatest(ONE, F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.greatest(ONE, F.col("tp") + F.col("fn")),
-        "specificity": F.col("tn") / F.greatest(ONE, F.col("tn") + F.col("fp")), "accuracy": (F.col("tp") + F.col("tn")) / F.greatest(ONE, n),
-        "coverage": (F.col("tp") + F.col("fp")) / F.greatest(ONE, n)})
+        "precision": F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")),
+        "specificity": F.col("tn") / F.greatest(F.lit(1), F.col("tn") + F.col("fp")), "accuracy": (F.col("tp") + F.col("tn")) / F.greatest(F.lit(1), n),
+        "coverage": (F.col("tp") + F.col("fp")) / F.greatest(F.lit(1), n)})
 
 
 def f1_fpr_mcc(df: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def losses(df: DataFrame, by: list[str]) -> DataFrame:
     """Brier score, its gain over the base rate, and log loss."""
     p = clipped(F.col("prob"))
     out = df.groupBy(*by).agg(
-        F.count(ONE).alias("n"), F.sum("actual").alias("n_pos"), F.avg((F.col("prob") - F.col("actual")) ** 2).alias("brier"),
+        F.count(F.lit(1)).alias("n"), F.sum("actual").alias("n_pos"), F.avg((F.col("prob") - F.col("actual")) ** 2).alias("brier"),
         F.avg(F.when(F.col("actual") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))).alias("log_loss"), F.avg("actual").alias("_rate"))
     return out.withColumn("brier_gain", F.col("_rate") * (1 - F.col("_rate")) - F.col("brier")).drop("_rate")
 
@@ -51,7 +50,7 @@ def by_score(df: DataFrame, by: list[str]) -> DataFrame:
     """n and positives of each distinct score, with running totals from the highest score down."""
     w = Window.partitionBy(*by).orderBy(F.desc("prob"))
     total = Window.partitionBy(*by)
-    scores = df.groupBy(*by, "prob").agg(F.count(ONE).alias("n"), F.sum("actual").alias("pos"))
+    scores = df.groupBy(*by, "prob").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("pos"))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return scores.withColumns({"flags": F.sum("n").over(run), "hits": F.sum("pos").over(run), "n_all": F.sum("n").over(total), "pos_all": F.sum("pos").over(total)})
 
@@ -76,7 +75,7 @@ def threshold_curve(df: DataFrame, thresholds: list[float], by: list[str]) -> Da
 
 def precision_recall_curve(df: DataFrame, by: list[str]) -> DataFrame:
     s = by_score(df, by)
-    return s.select(*by, F.col("prob").alias("threshold"), (F.col("hits") / F.col("flags")).alias("precision"), (F.col("hits") / F.greatest(ONE, F.col("pos_all"))).alias("recall"))
+    return s.select(*by, F.col("prob").alias("threshold"), (F.col("hits") / F.col("flags")).alias("precision"), (F.col("hits") / F.greatest(F.lit(1), F.col("pos_all"))).alias("recall"))
 
 
 def lowest_reaching(df: DataFrame, targets: list[float], by: list[str], min_flags: int = 5) -> DataFrame:
@@ -112,7 +111,7 @@ def scan_until_below(df: DataFrame, target: float, by: list[str], tie: str, firs
 def precision_at_positives(df: DataFrame, by: list[str], tie: str) -> DataFrame:
     """Precision of the top N, N the number of positives (at least one)."""
     w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("prob"), tie)), "_n": F.greatest(ONE, F.sum("actual").over(w))})
+    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("prob"), tie)), "_n": F.greatest(F.lit(1), F.sum("actual").over(w))})
     return ranked.where("_k <= _n").groupBy(*by).agg(F.max("_n").alias("top_n"), F.avg("actual").alias("precision_at_n"))
 
 

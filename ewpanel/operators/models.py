@@ -31,7 +31,13 @@ def estimator(kind: str, seed: int = 7, **options):
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, kinds: tuple[str, ...] = ("logistic",), **options) -> DataFrame:
-    """Fit each kind on train (nulls as 0, balanced weights) and add prob, the mean of their scores, to test."""
+    """Fit each kind on train (nulls as 0, balanced weights) and add prob, the mean of their scores, to test.
+
+    With no training rows or one class only, prob is the training rate (0 without rows).
+    """
+    n, pos = train.agg(F.count(F.lit(1)), F.sum(label)).first()
+    if not pos or pos == n:
+        return test.withColumn("prob", F.lit(1.0 if pos else 0.0))
     train, test = train.fillna(0, features), test.fillna(0, features)
     ready = train.withColumns({"_label": F.col(label).cast("double"), "_weight": balanced_weight(train, label)})
     prepare = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)]).fit(ready)

@@ -32,7 +32,7 @@ def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], can
     base, _ = residual(list(range(1, k - 1)))
     full, beta = residual(list(range(1, k)))
     free = sums["n"] - entities - (k - 1)
-    return {"f": (base - full) / (full / free), "r2": 1 - full / m[0, 0], "coef": float(beta[-1]), "n": int(sums["n"])}
+    return {"f": float((base - full) / (full / free)), "r2": float(1 - full / m[0, 0]), "coef": float(beta[-1]), "n": int(sums["n"])}
 
 
 def ssr_granger(df: DataFrame, entity: str, period: str, y: str, x: str, lags: int = 1, least: int = 12) -> DataFrame:

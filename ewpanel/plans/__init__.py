@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from ewpanel.plans import candidates, panels  # noqa: F401
+from ewpanel.plans import candidates, evaluation, graphs, modelling, panels  # noqa: F401
 from ewpanel.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

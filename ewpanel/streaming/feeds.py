@@ -18,7 +18,8 @@ def weekly_counts(stream: DataFrame, entity: str, ts: str, late: str = "14 days"
 
 
 def sliding_counts(stream: DataFrame, entity: str, ts: str, length: int = 30, every: int = 7, late: str = "14 days") -> DataFrame:
-    w = F.window(ts, f"{length} days", f"{every} days", "4 days")
+    """Counts of the ``length`` days before each issue Monday."""
+    w = F.window(ts, f"{length} days", f"{every} days", f"{(4 - length) % 7} days")
     return stream.withWatermark(ts, late).groupBy(w, entity).agg(F.count(F.lit(1)).alias("n_events")).select(entity, F.col("window.end").alias("issue"), "n_events")
 
 
