@@ -57,3 +57,65 @@ def out_of_fold(df: DataFrame, folds: list[tuple[Column, Column]], features: lis
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
+
+
+def calibrate(scores: DataFrame, other: DataFrame, label: str, kind: str = "isotonic") -> DataFrame:
+    """Fit a map from prob to label on ``scores`` (isotonic, or sigmoid by a logistic of one feature) and replace prob in ``other``.
+
+    Scores outside the fitted range take its ends. Without scores ``other`` is returned as it is.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    ready = scores.select(F.col("prob").alias("_x"), F.col(label).cast("double").alias("_label"))
+    if ready.isEmpty():
+        return other
+    if kind == "isotonic":
+        model = IsotonicRegression(featuresCol="_x", labelCol="_label").fit(ready)
+        return model.transform(other.withColumn("_x", F.col("prob"))).withColumn("prob", F.col("prediction")).drop("_x", "prediction")
+    to = VectorAssembler(inputCols=["_x"], outputCol="_v")
+    model = LogisticRegression(featuresCol="_v", labelCol="_label", regParam=1e-6).fit(to.transform(ready))
+    out = model.transform(to.transform(other.withColumn("_x", F.col("prob"))))
+    return out.withColumn("prob", vector_to_array("probability")[1]).drop("_x", "_v", "rawPrediction", "probability", "prediction")
+
+
+def stack(select_: DataFrame, holdout: DataFrame, folds: list[tuple[Column, Column]], features: list[str], label: str, kinds: tuple[str, ...], key: list[str], **options) -> DataFrame:
+    """Out-of-fold base scores on the select window feed a balanced logistic; bases refitted on all of it score the holdout."""
+    names = [f"base_{k}" for k in kinds]
+
+    def joined(parts: list[DataFrame], base: DataFrame) -> DataFrame:
+        for name, p in zip(names, parts):
+            base = base.join(p.select(*key, F.col("prob").alias(name)), key)
+        return base
+
+    oof = joined([out_of_fold(select_, folds, features, label, kinds=(k,), **options) for k in kinds], select_)
+    final = joined([fit_score(select_, holdout, features, label, (k,), **options) for k in kinds], holdout)
+    return fit_score(oof, final, names, label)
+
+
+def three_class(train: DataFrame, test: DataFrame, features: list[str], label: str, trees: int = 40, depth: int = 4, seed: int = 7) -> DataFrame:
+    """One forest for none, event, severe (0, 1, 2): p_occ and p_sev."""
+    to = VectorAssembler(inputCols=features, outputCol="_features")
+    model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed).fit(
+        to.transform(train.fillna(0, features).withColumn("_label", F.col(label).cast("double"))))
+    p = vector_to_array("probability")
+    out = model.transform(to.transform(test.fillna(0, features))).withColumns({"p_occ": 1 - p[0], "p_sev": p[2] if model.numClasses > 2 else F.lit(0.0)})
+    return out.drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def sweep(configs: list[dict], run, log: list[dict] | None = None) -> list[dict]:
+    """Run each configuration that isn't in ``log`` (by name); an error is a row, not an end; best_so_far runs over the metric."""
+    done = {r["name"] for r in log or []}
+    rows = list(log or [])
+    for c in configs:
+        if c["name"] in done:
+            continue
+        try:
+            rows.append({"name": c["name"], "value": run(c), "error": None})
+        except Exception as e:  # noqa: BLE001
+            rows.append({"name": c["name"], "value": None, "error": str(e)[:200]})
+    best = None
+    for r in rows:
+        if r["value"] is not None and (best is None or r["value"] > best):
+            best = r["value"]
+        r["best_so_far"] = best
+    return rows

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Event times as timestamps (session zone UTC), which watermarks need."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def weekly_counts(stream: DataFrame, entity: str, ts: str, late: str = "14 days") -> DataFrame:
     """Monday weeks of each entity; rows later than the watermark are dropped."""
     w = F.window(ts, "7 days", "7 days", "4 days")  # the epoch is a Thursday
-    return stream.withWatermark(ts, late).groupBy(w, entity).agg(F.count(F.lit(1)).alias("n_events")).select(entity, F.col("window.start").alias("week"), "n_events")
+    return _timed(stream, ts).withWatermark(ts, late).groupBy(w, entity).agg(F.count(F.lit(1)).alias("n_events")).select(entity, F.col("window.start").alias("week"), "n_events")
 
 
 def sliding_counts(stream: DataFrame, entity: str, ts: str, length: int = 30, every: int = 7, late: str = "14 days") -> DataFrame:
     """Counts of the ``length`` days before each issue Monday."""
     w = F.window(ts, f"{length} days", f"{every} days", f"{(4 - length) % 7} days")
-    return stream.withWatermark(ts, late).groupBy(w, entity).agg(F.count(F.lit(1)).alias("n_events")).select(entity, F.col("window.end").alias("issue"), "n_events")
+    return _timed(stream, ts).withWatermark(ts, late).groupBy(w, entity).agg(F.count(F.lit(1)).alias("n_events")).select(entity, F.col("window.end").alias("issue"), "n_events")
 
 
 def decaying_intensity(stream: DataFrame, key: str, ts: str, half_life_s: float) -> DataFrame:
@@ -41,5 +46,5 @@ def decaying_intensity(stream: DataFrame, key: str, ts: str, half_life_s: float)
         yield pd.DataFrame({key: [k[0]], "at": [last], "intensity": [level], "n": [len(times)]})
 
     kind = dict(stream.dtypes)[key]
-    ready = stream.select(key, F.col(ts).cast("double").alias("_t"))
+    ready = _timed(stream, ts).select(key, F.col(ts).cast("double").alias("_t"))
     return ready.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at double, intensity double, n long", "level double, last double", "update", GroupStateTimeout.NoTimeout)

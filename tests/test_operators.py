@@ -132,5 +132,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     for r in spark.table("hawkes").collect():
-        times = [x.t for x in events.where(F.col("event_type") == r.event_type).select(F.col("ts").cast("double").alias("t")).collect()]
+        times = [x.t for x in events.where(F.col("event_type") == r.event_type).select(F.col("ts").cast("timestamp").cast("double").alias("t")).collect()]
         assert r.intensity == pytest.approx(sum(math.exp(-math.log(2) / 86400 * (max(times) - t)) for t in times))
+
+
+def test_calibration_stacking_classes_and_sweep(spark):
+    rows = [(i, float(i % 10), float((i * 7) % 13), int(i % 10 >= 7), int(i % 10 >= 7) + int(i % 10 == 9), (i % 10) / 20) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int, y3 int, prob double")
+    for kind in ("isotonic", "sigmoid"):
+        out = models.calibrate(df, df, "y", kind)
+        low, high = out.where("a = 0").first().prob, out.where("a = 9").first().prob
+        assert low < 0.1 and high > 0.9
+    assert models.calibrate(df.limit(0), df, "y").count() == 300
+    folds = [(F.col("id") < 100, (F.col("id") >= 100) & (F.col("id") < 150)), (F.col("id") < 150, (F.col("id") >= 150) & (F.col("id") < 200))]
+    stacked = models.stack(df.where("id < 200").drop("prob"), df.where("id >= 200").drop("prob"), folds, ["a", "b"], "y", ("logistic", "forest"), ["id"], trees=5)
+    assert metrics.ranking(stacked.select("prob", F.col("y").alias("actual")), []).first().roc_auc > 0.95
+    three = models.three_class(df.drop("prob"), df.drop("prob"), ["a", "b"], "y3", trees=10)
+    assert three.where("a = 9").first().p_sev > 0.5 > three.where("a = 0").first().p_occ
+    log = models.sweep([{"name": "p", "v": 1}, {"name": "q", "v": 0}, {"name": "r", "v": 4}], lambda c: 1 / c["v"])
+    assert [r["best_so_far"] for r in log] == [1.0, 1.0, 1.0] and log[1]["error"]
+    assert len(models.sweep([{"name": "p", "v": 5}], lambda c: c["v"], log)) == 3
