@@ -48,7 +48,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup(_table(spark, sf_dir, "documents"), wide=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
