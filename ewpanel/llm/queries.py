@@ -32,7 +32,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return substring_dedup(_table(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
