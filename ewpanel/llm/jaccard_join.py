@@ -325,14 +325,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     exact = (F.col("members") > FEW) | F.col("near")
     open_ = screened.where(exact).select(F.col("c").alias("fp")).union(screened.where(exact).select(F.col("x").alias("fp"))).distinct()
     few = screened.where(F.col("members").between(2, FEW)).select(F.col("x").alias("fp")).distinct()
-    tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width), "tokens")
+    tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width).dropDuplicates(["fp"]), "tokens")  # copies of a set pass once
     found = _verify(screened.where(exact).select("c", "x"), tokens, percent, _common_tokens(docs, width))
     found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>"), *[F.lit(None).cast("long")] * 4))
     found = stage_table(found, "verified", 16 << 20)
+    sizes = around  # the numbers that decided who is verified
     node = components(found.where("linked").select("c", "x"), "c", "x")
     found = stage_table(found.join(node, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node"), "verified-components")
-    around = found.groupBy("c").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("first"), F.max("component").alias("last"))
-    around = stage_table(around, "centres")
+    around = found.groupBy("c").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    around = stage_table(around.join(sizes, "c"), "centres")
     rest = stage_table(_around_centres(stage_table(found.join(around, "c"), "verified-sizes"), FEW, percent), "rest-pairs")
     rest = stage_table(_screen(rest, sketches, percent), "rest-screened").where("near").select("c", "x")
     more = stage_table(_verify(rest, tokens, percent), "verified-rest", 16 << 20)
