@@ -31,26 +31,56 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files of a write go when it has ended
+
+
+def stage_table(df: DataFrame, name: str, batch_bytes: int | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     Cuts the lineage: what is built on the result neither recomputes ``df`` nor
-    depends on the shuffle files of an executor that may be lost. ``batch_bytes``
-    bounds the Arrow batches of this write, for rows that may be long.
+    depends on the shuffle files of an executor that may be lost; those of the write
+    itself are removed as it ends. ``batch_bytes`` bounds the Arrow batches of this
+    write, for rows that may be long.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
+    path = path or new_path(spark, name)
+    wanted = {CLEAN: "true"} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
-        if batch_bytes:
-            spark.conf.set(key, str(batch_bytes))
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """The staged tables of one call: each is dropped by name once it is used up, or all but some at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+        self.paths.setdefault(name, []).append(path := new_path(self.spark, name))
+        return stage_table(df, name, batch_bytes, path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
+
+    def close(self, *keep: str) -> None:
+        self.drop(*(name for name in list(self.paths) if name not in keep))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def filesystem(uri: str):
     """pyarrow's file system and the path in it for a folder of the cluster."""
     from pyarrow import fs

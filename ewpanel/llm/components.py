@@ -5,38 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import stage_table
+from ewpanel.llm.common import Stages, stage_table
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", within: Stages | None = None) -> DataFrame:
     """The component of every node that has an edge: node, component (its smallest node).
 
     Alternates large-star and small-star steps (each node is linked to the smallest
     node it sees) until nothing changes; each step is a grouped minimum and a join,
-    written to the shared folder. Only two numbers a round come to the driver.
-    Self-loops, repeated and reversed edges and edges with a null end don't matter;
-    without edges the result is empty.
+    written to the shared folder. Only two numbers a round come to the driver, and a
+    round's tables go with the next. Self-loops, repeated and reversed edges and edges
+    with a null end don't matter; without edges the result is empty. The result is one
+    of the tables of ``within``, if given.
     """
-    current = stage_table(
+    stages, last = Stages(edges.sparkSession), "edges-0"
+    current = stages.table(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("a"), F.col(b).alias("b"))
         .where("u > v and a is not null and b is not null").select("u", "v").distinct(),
-        "edges",
+        last,
     )
-    before = _state(current)
+    before, turn = _state(current), 0
     while True:
+        turn += 1
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stages.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = stage_table(large, "large-star")
-        least = stage_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = stages.table(large, "large-star")
+        least = stages.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        current = stage_table(small.select("e.u", "e.v").where("u > v").distinct(), "small-star")
-        after = _state(current)
+        current = stages.table(small.select("e.u", "e.v").where("u > v").distinct(), f"edges-{turn}")
+        stages.drop("least", "large-star", last)
+        last, after = f"edges-{turn}", _state(current)
         if after == before:
             break
         before = after
-    return stage_table(current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-                       .union(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    found = (current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+             .union(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+    found = within.table(found, "components") if within else stage_table(found, "components")
+    stages.close()
+    return found
 
 
 def _state(edges: DataFrame) -> tuple:
