@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import stage_table
+from ewpanel.llm.common import Stages
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -21,7 +21,8 @@ class DigestIndex:
     """A table of SHA-256 digests, bucketed and sorted by digest, that grows by appending.
 
     Each digest stands there once with the id of the row that stays. New batches
-    meet it by a sort-merge anti-join that neither shuffles nor sorts the index.
+    meet it by a sort-merge anti-join for which the index is not shuffled; where
+    several appends have given a bucket several files, each bucket is sorted as it is read.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
@@ -35,6 +36,9 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append_new(self, groups: DataFrame) -> None:
         """Add the rows of ``groups`` (unique digests) whose digest isn't there yet."""
         new = groups
@@ -45,43 +49,54 @@ class DigestIndex:
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 
-def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[int, ...] = ()) -> DataFrame:
     """Decide for every row of ``docs`` whether it stays; new digests are appended to ``index``.
 
-    Returns id_col, keep_id, group_size (rows of this batch with that text), kept
-    and text_sha256. Of equal texts in a batch the row with the smallest id stays,
-    null ids last; of repeated rows with one id exactly one is kept. If an earlier
-    batch has the text, its row stays and none of this batch. Null texts equal
-    empty ones. An empty table gives an empty result and leaves the index empty.
-    Other columns are ignored, whatever their names.
+    The rows come to the index in batches: ids below the first of the ascending
+    ``cuts``, below the second and so on, then the rest with the null ids. Of a batch
+    only digests that the anti-join doesn't find in the index are appended.
+
+    Returns id_col, keep_id, group_size (rows of ``docs`` with that text), kept
+    and text_sha256. Of equal texts the row with the smallest id stays, null ids
+    last; of repeated rows with one id exactly one is kept. If the index had the text
+    before, its row stays and none of these. Null texts equal empty ones. An empty
+    table gives an empty result and leaves the index empty. Other columns are ignored,
+    whatever their names.
 
     Texts are read and hashed once into a narrow table of digests; all that
     follows moves 32-byte digests. Groups are pre-aggregated before the shuffle
     and the join back is between two plain shuffles, which Spark splits where one
     digest holds many rows.
     """
-    batch = uuid.uuid4().hex
-    digests = stage_table(
+    stages, call = Stages(docs.sparkSession), uuid.uuid4().hex
+    number = F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        number = F.when(F.col(id_col) < cuts[k], k).otherwise(number)
+    digests = stages.table(
         docs.select(
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("row"),
             F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"),
+            number.alias("number"),
         ),
         "digests",
     )
-    groups = digests.groupBy("digest").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")
+    groups = digests.groupBy("digest", "number").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    groups = stage_table(
-        groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size", F.lit(batch).alias("batch")),
+    groups = stages.table(
+        groups.select("digest", "number", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "n", F.lit(call).alias("batch")),
         "digest-groups",
     )
-    index.append_new(groups)
-    decided = stage_table(
-        index.rows().join(groups.select("digest", "group_size").hint("merge"), "digest")
-        .select("digest", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"), "group_size"),
+    for k in range(len(cuts) + 1):
+        index.append_new(groups.where(F.col("number") == k))
+    sizes = groups.groupBy("digest").agg(F.sum("n").alias("group_size"))
+    decided = stages.table(
+        index.rows().join(sizes.hint("merge"), "digest")
+        .select("digest", "keep_id", F.when(F.col("batch") == call, F.col("keep_row")).alias("keep_row"), "group_size"),
         "digest-decisions",
     )
+    stages.close("digests", "digest-decisions")
     return digests.join(decided, "digest").select(
         F.col("id").alias(id_col),
         "keep_id",

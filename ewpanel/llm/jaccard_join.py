@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import mix64, stage_table, text_slices
+from ewpanel.llm.common import Stages, mix64, text_slices
 from ewpanel.llm.components import components
 from ewpanel.llm.words import shingle_sets
 
 SLICE = 2 << 20  # bytes of text that are hashed at a time
 SLACK = 4  # segments for each one that may be left out
-SMALL = ["small0", "small1", "small2", "small3"]  # a parity sketch of 256 bits
-FEW = 16  # sets around a centre that are paired as they are
+LEAST_BITS = 1024  # of a parity sketch
+BLOCK = 256  # sets around a centre that are compared with one another at a time
+COPIES = 1 << 16  # sets remembered by a task, so that copies close to each other are hashed once
 GROWTH = 1.6  # of a size band's upper end over the last band's
 
 
@@ -44,10 +45,9 @@ class Bands:
             self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * GROWTH)))
         return int(np.searchsorted(self.upper, n))
 
-    def wanted(self, n: int) -> list[int]:
-        """The bands in whose sketches a set of n tokens must appear: its own, and the next if a partner can lie there."""
-        own = self.of(n)
-        return [own, own + 1] if 100 * n >= self.percent * (self.upper[own] + 1) else [own]
+    def wanted(self, n: int) -> range:
+        """The bands in whose sketches a set of n tokens must appear: its own, and larger ones in which a partner can lie."""
+        return range(self.of(n), self.of(100 * n // self.percent) + 1)
 
     def shape(self, band: int) -> tuple[int, int]:
         """Number of segments and the slack t."""
@@ -84,8 +84,8 @@ def _set_hash(tokens: np.ndarray) -> int:
 
 
 def parity_sketch(tokens: np.ndarray) -> bytes:
-    """One parity bit for each of 2**k token hashes, two to four for each token; the upper half folds onto the lower."""
-    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """One parity bit for each of 2**k token hashes, two to four for each token and 1,024 at least; the upper half folds onto the lower."""
+    bits = max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
     odd = np.bincount((mix64(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,15 +101,15 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def sketched_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, n (size of the set), fp (hash of the set, null if empty) and its parity sketch."""
+    """id, text_hash, n (size of the set), fp (hash of the set, null if empty) and its parity sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "fp", "sketch"])
+                [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], ["id", "text_hash", "n", "fp", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, fp long, sketch binary")
+    return docs.mapInArrow(run, "id long, text_hash long, n long, fp long, sketch binary")
 
 
 FILTER_BITS = 1 << 25  # of the id filter, 4 MB, whatever the input
@@ -124,32 +124,6 @@ def _filter_of(rows: DataFrame, places: list):
     return rows.sparkSession.sparkContext.broadcast(held)
 
 
-def _common_tokens(docs: DataFrame, width: int):
-    """A filter of the tokens that are frequent in every 16th document.
-
-    Only the order in which tokens are looked up depends on it, never what is found.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
-            sets = shingle_sets(batch.column("text"), width)
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
-
-    some = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(16)) == 0).select("text").mapInArrow(run, "token long")
-    often = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-    low = F.lit(FILTER_BITS - 1).cast("long")
-    return _filter_of(often, [F.col("token").bitwiseAND(low), F.shiftrightunsigned("token", 25).bitwiseAND(low)])
-
-
-def _is_common(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    low = np.uint64(FILTER_BITS - 1)
-    out = np.ones(len(tokens), bool)
-    for h in (tokens & low, (tokens >> np.uint64(25)) & low):
-        h = h.astype(np.int64)
-        out &= (bits[h >> 6] >> (h & 63)) & 1 == 1
-    return out
-
-
 def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp and tokens (sorted 64-bit words) of the documents whose id is among ``wanted``, and perhaps of some others.
 
@@ -176,11 +150,12 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _sketch_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        bands, seen = Bands(percent), np.zeros(COPIES, np.int64)
         for batch in text_slices(batches, "text", SLICE):
             sets = {_set_hash(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
-            sets = {fp: s for fp, s in sets.items() if fp not in seen}  # copies within a partition go once
-            seen.update(sets)
+            sets = {fp: s for fp, s in sets.items() if seen[fp % COPIES] != fp}
+            for fp in sets:
+                seen[fp % COPIES] = fp
             if sets:
                 keys = [bands.keys(s) for s in sets.values()]
                 fps = np.repeat(np.array(list(sets), np.int64), [len(k) for k in keys])
@@ -215,85 +190,152 @@ def _bucket_centres(keys: DataFrame) -> DataFrame:
 
 
 def _screen(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (c, x) with their sizes nc, nx and whether their sketches leave a link possible."""
+    """Pairs (c, x) with their sizes nc, nx, a lower bound of their difference and whether it leaves a link possible."""
     gap, whole = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            limit = gap * (batch.column("nc").to_numpy() + batch.column("nx").to_numpy())
-            near = [whole * sketch_distance(a, b) <= m for a, b, m in zip(batch.column("sc").to_pylist(), batch.column("sx").to_pylist(), limit.tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("c", "x", "nc", "nx")), pa.array(near, pa.bool_())], ["c", "x", "nc", "nx", "near"])
+            sizes = batch.column("nc").to_numpy() + batch.column("nx").to_numpy()
+            low = [sketch_distance(a, b) for a, b in zip(batch.column("sc").to_pylist(), batch.column("sx").to_pylist())]
+            low = np.maximum(np.array(low, np.int64), np.abs(batch.column("nc").to_numpy() - batch.column("nx").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("c", "x", "nc", "nx")), pa.array(low), pa.array(whole * low <= gap * sizes)], ["c", "x", "nc", "nx", "low", "near"])
 
     side = lambda k: sketches.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     joined = pairs.join(side("c"), "c").join(side("x"), "x").select("c", "x", "nc", "nx", "sc", "sx")
-    return joined.mapInArrow(run, "c long, x long, nc long, nx long, near boolean")
+    return joined.mapInArrow(run, "c long, x long, nc long, nx long, low long, near boolean")
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, common=None) -> DataFrame:
-    """For each pair (c, x) its sizes, the symmetric difference, whether it is linked and, given a filter of common tokens, the rest tokens.
-
-    ``rest``: the first tokens of the difference of x from c, rare ones of x alone
-    first, then common ones, then those of c alone, as many as two sets around c must
-    look up to be found if at least one of them isn't linked with c (see
-    ``_around_centres``).
-    """
+def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """For each pair (c, x) the symmetric difference of their sets and whether they are linked."""
     gap, whole = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for c, x, a, b in zip(batch.column("c").to_pylist(), batch.column("x").to_pylist(), batch.column("tc"), batch.column("tx")):
+            differ, linked = [], []
+            for a, b in zip(batch.column("tc"), batch.column("tx")):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.intersect1d(a, b, assume_unique=True)
-                differ = len(a) + len(b) - 2 * len(both)
-                linked = whole * differ <= gap * (len(a) + len(b))
-                rest = None
-                if common is not None:
-                    if linked:
-                        least = (whole * differ + gap * (len(a) - len(b))) // (2 * whole) + 1
-                    else:
-                        least = max(1, -((gap * (len(a) + len(b)) - whole * differ) // (2 * whole)), differ - gap * (len(b) + 100 * len(b) // percent) // whole)
-                    own = np.setdiff1d(b, both, assume_unique=True)
-                    often = _is_common(own, common.value)
-                    rest = np.concatenate([own[~often], own[often], np.setdiff1d(a, both, assume_unique=True)])[: max(0, differ - least + 1)].view(np.int64)
-                small = np.packbits((np.bincount((b & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-                rows.append((c, x, len(a), len(b), differ, linked, rest, *small.tolist()))
-            columns = list(zip(*rows)) if rows else [[]] * 11
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["c", "x", "nc", "nx", "differ", "linked", "rest", *SMALL])
+                differ.append(len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True)))
+                linked.append(whole * differ[-1] <= gap * (len(a) + len(b)))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("x"), pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())], ["c", "x", "differ", "linked"])
 
     joined = (pairs.join(tokens.select(F.col("fp").alias("c"), F.col("tokens").alias("tc")), "c")
               .join(tokens.select(F.col("fp").alias("x"), F.col("tokens").alias("tx")), "x").select("c", "x", "tc", "tx"))
-    return joined.mapInArrow(run, "c long, x long, nc long, nx long, differ long, linked boolean, rest array<long>, " + ", ".join(f"{k} long" for k in SMALL))
+    return joined.mapInArrow(run, "c long, x long, differ long, linked boolean")
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches folded to LEAST_BITS, a row of words for each."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, LEAST_BITS // 64), axis=0) for s in sketches])
 
 
-def _around_centres(found: DataFrame, few: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of sets around one centre c that may be linked although not both are linked with c.
+def _possible(p: dict, q: dict, percent: int) -> np.ndarray:
+    """Which sets of p and q (around one centre) may be linked and are not of one component yet: a boolean matrix.
 
-    Sets that are already of one component need no comparison. Where at most ``few`` sets lie around c they are paired as they are. Else: let
-    d(x) be the difference of x from c, with a tokens, and d(y) that of y with b
-    tokens. A pair that is linked has |d(x) & d(y)| >= (a + b - D(x, y)) / 2, which is
-    at least one if x isn't linked with c, and |a - b| <= D(x, y). So the pair shares a
-    token among the first of both (prefix filter), the places of that token bound what
-    else can be shared, and parity sketches of 256 bits bound their difference.
+    A link needs similar sizes and a symmetric difference of at most gap / whole of the
+    sizes' sum. Differences are a metric: that of x and y is at least the lower bound of
+    one set's difference from the centre less the other's exact one, and at least the
+    number of parity bits in which the sketches differ.
     """
     gap, whole = 100 - percent, 100 + percent
-    near = lambda p, q: F.col(f"{p}.nx") * 100 >= F.col(f"{q}.nx") * percent
-    ordered = (F.col("p.component") != F.col("q.component")) & ((~F.col("q.linked") & (F.col("p.x") < F.col("q.x"))) | F.col("q.linked"))
-    open_ = F.col("first") < F.col("last")
-
-    small = found.where(open_ & (F.col("members") <= few)).select("c", "x", "nx", "linked", "component")
-    direct = (small.where("not linked").alias("p").join(small.alias("q"), F.col("p.c") == F.col("q.c"))
-              .where(ordered & near("p", "q") & near("q", "p")).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
-    spread = found.where(open_ & (F.col("members") > few)).select("c", "x", "nx", "differ", "linked", "component", *SMALL, F.posexplode("rest").alias("place", "token"))
-    apart = sum((F.bit_count(F.col(f"p.{k}").bitwiseXOR(F.col(f"q.{k}"))) for k in SMALL), F.lit(0))
-    possible = apart * whole <= (F.col("p.nx") + F.col("q.nx")) * gap
-    least = F.expr(f"ceil(({whole} * (p.differ + q.differ) - {gap} * (p.nx + q.nx)) / {2 * whole})")
-    most = 1 + F.least(F.col("p.differ") - 1 - F.col("p.place"), F.col("q.differ") - 1 - F.col("q.place"))
-    shared = (spread.where("not linked").alias("p").join(spread.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.token") == F.col("q.token"))
-              & ordered & near("p", "q") & near("q", "p") & (most >= least) & possible).select(F.col("p.x").alias("c"), F.col("q.x").alias("x")))
-    pairs = direct.union(shared).select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct()
-    return pairs.join(found.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")), ["c", "x"], "left_anti")
+    limit = gap * (p["n"][:, None] + q["n"][None, :])
+    out = (p["component"][:, None] != q["component"][None, :]) & (whole * np.abs(p["n"][:, None] - q["n"][None, :]) <= limit)
+    out &= whole * (p["low"][:, None] - q["high"][None, :]) <= limit
+    out &= whole * (q["low"][None, :] - p["high"][:, None]) <= limit
+    at = np.nonzero(out)
+    apart = np.bitwise_count(p["sketch"][at[0]] ^ q["sketch"][at[1]]).sum(1, dtype=np.int64)
+    out[at] = whole * apart <= limit[at]
+    return out
+
+
+def _around_centres(around: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, x) of sets around one centre that may be linked although their components differ.
+
+    ``around``: centre, x, n, low, high, component, sketch and blocks. The sets around
+    a centre are dealt to blocks of about BLOCK by a hash, and any two blocks, or one
+    block with itself, are compared by one task; only possible pairs come out.
+    """
+    own = F.pmod(F.xxhash64("x"), F.col("blocks"))
+    dealt = around.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "low", "high", "component", "sketch")
+
+    def of(table: pa.Table) -> dict:
+        columns = {k: table.column(k).to_numpy() for k in ("x", "n", "low", "high", "component", "own")}
+        return columns | {"sketch": _folded(table.column("sketch").to_pylist())}
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        sets, i, j = of(table), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        p, q = ({k: v[sets["own"] == b] for k, v in sets.items()} for b in (i, j))
+        a, b = np.nonzero(_possible(p, q, percent)) if len(p["x"]) and len(q["x"]) else (np.zeros(0, np.int64),) * 2
+        x, y = p["x"][a], q["x"][b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["c", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the pair of blocks that the last batch ended in
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            names = [table.column(k).to_numpy() for k in ("centre", "i", "j")]
+            edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in names], axis=0)) + 1).tolist()] if len(table) else [0]
+            for a, b in zip(edges, edges[1:]):
+                yield compared(table.slice(a, b - a))
+            held = table.slice(edges[-1]).combine_chunks()
+        if held is not None and len(held):
+            yield compared(held)
+
+    ordered = dealt.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return ordered.mapInArrow(run, "c long, x long").distinct()
+
+
+def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents (id, text_hash, n, fp; fp null if empty) and the group of each fp (fp, id, component).
+
+    ``id`` of the second is the smallest of the set's documents, ``component`` the
+    smallest fp that links reach. ``docs`` has id and text.
+    """
+    docs = docs.select("id", "text")
+    sets = stages.table(sketched_sets(docs.select("id", "text", F.xxhash64("text").alias("text_hash")), width), "sets")
+    first = stages.table(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id")), "set-ids")
+    pairs = stages.table(_bucket_centres(_sketch_keys(docs, width, percent)), "bucket-pairs")
+    ends = lambda t: t.select(F.explode(F.array("c", "x")).alias("fp")).distinct()
+    sketches = stages.table(sets.join(ends(pairs), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sketch"), "sketches")
+    screened = stages.table(_screen(pairs, sketches, percent), "screened")
+    near = screened.where("near")
+
+    def verified(some: DataFrame, name: str) -> DataFrame:
+        tokens = stages.table(tokens_of(docs, first.join(ends(some), "fp", "left_semi"), width).join(ends(some), "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
+        found = stages.table(_verify(some, tokens, percent), name, 16 << 20)
+        stages.drop("tokens")
+        return found
+
+    def with_components(some: DataFrame, links: DataFrame, *of: str) -> DataFrame:
+        node = components(links.where("linked").select("c", "x"), "c", "x", stages)
+        for k in of:
+            name = node.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
+            some = some.join(name, k, "left").withColumn(f"component_{k}", F.coalesce(f"component_{k}", k))
+        return some
+
+    # each set with its nearest centre first, then what these links leave open
+    best = near.groupBy("x").agg(F.min(F.struct((F.col("low") / (F.col("nc") + F.col("nx"))).alias("share"), "c")).alias("best"))
+    found = verified(stages.table(best.select(F.col("best.c").alias("c"), "x"), "nearest"), "verified-nearest")
+    open_ = with_components(near.select("c", "x"), found, "c", "x").where("component_c != component_x").join(found, ["c", "x"], "left_anti").select("c", "x")
+    found = found.union(verified(stages.table(open_, "open-pairs"), "verified-open"))
+
+    known = screened.join(found, ["c", "x"], "left").select("c", "x", F.col("nx").alias("n"), F.coalesce("differ", "low").alias("low"), F.coalesce("differ", F.lit(1 << 40)).alias("high"))
+    stages.drop("components")
+    around = stages.table(with_components(known, found, "x"), "around")
+    mixed = around.groupBy("c").agg(F.min("component_x").alias("a"), F.max("component_x").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("a < b")
+    mixed = around.join(mixed.select("c", "blocks"), "c").join(sketches.select(F.col("fp").alias("x"), "sketch"), "x")
+    mixed = mixed.select(F.col("c").alias("centre"), "x", "n", "low", "high", F.col("component_x").alias("component"), "sketch", "blocks")
+    told = screened.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
+    rest = stages.table(_around_centres(mixed, percent).join(told, ["c", "x"], "left_anti"), "rest-pairs")
+    rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
+    found = found.union(verified(rest, "verified-rest"))
+
+    stages.drop("components")
+    node = components(found.where("linked").select("c", "x"), "c", "x", stages)
+    labelled = stages.table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")
+    stages.close("sets", "labelled")
+    return sets, labelled
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,40 +349,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     rows are returned as often as they come. An empty table gives an empty result.
     Other columns are ignored.
 
-    Buckets of equal sketch segments are never expanded into pairs: each set is
-    compared with its bucket's centre, by their parity sketches first and by
-    their tokens if those leave a link possible; and only sets around one that isn't
-    linked with it are compared further, by the tokens in which they differ from it.
-    All verified links together connect exactly what all links connect.
+    Each set is compared with the centres of its buckets of equal sketch segments, by
+    parity sketches first and by tokens if those leave a link possible and links found
+    before don't already connect the two. Sets around one centre that are of different
+    components are compared by sketches, block against block; tokens move only for
+    those that may be linked. All verified links connect exactly what all links connect.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage_table(sketched_sets(docs, width), "sets")
-    first = stage_table(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id")), "set-ids")
-    centres = stage_table(_bucket_centres(_sketch_keys(docs, width, percent)), "bucket-pairs")
-    ends = centres.select(F.col("c").alias("fp")).union(centres.select(F.col("x").alias("fp"))).distinct()
-    sketches = stage_table(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "sketch"), "sketches")
-    screened = stage_table(_screen(centres, sketches, percent), "screened")
-    around = stage_table(screened.groupBy("c").agg(F.count(F.lit(1)).alias("members")), "centre-sizes")
-    screened = stage_table(screened.join(around, "c"), "screened-sizes")
-    exact = (F.col("members") > FEW) | F.col("near")
-    open_ = screened.where(exact).select(F.col("c").alias("fp")).union(screened.where(exact).select(F.col("x").alias("fp"))).distinct()
-    few = screened.where(F.col("members").between(2, FEW)).select(F.col("x").alias("fp")).distinct()
-    tokens = stage_table(tokens_of(docs, first.join(open_.union(few).distinct(), "fp", "left_semi"), width).dropDuplicates(["fp"]), "tokens")  # copies of a set pass once
-    found = _verify(screened.where(exact).select("c", "x"), tokens, percent, _common_tokens(docs, width))
-    found = found.union(screened.where(~exact).select("c", "x", "nc", "nx", F.lit(None).cast("long"), F.lit(False), F.lit(None).cast("array<long>"), *[F.lit(None).cast("long")] * 4))
-    found = stage_table(found, "verified", 16 << 20)
-    sizes = around  # the numbers that decided who is verified
-    node = components(found.where("linked").select("c", "x"), "c", "x")
-    found = stage_table(found.join(node, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node"), "verified-components")
-    around = found.groupBy("c").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-    around = stage_table(around.join(sizes, "c"), "centres")
-    rest = stage_table(_around_centres(stage_table(found.join(around, "c"), "verified-sizes"), FEW, percent), "rest-pairs")
-    rest = stage_table(_screen(rest, sketches, percent), "rest-screened").where("near").select("c", "x")
-    more = stage_table(_verify(rest, tokens, percent), "verified-rest", 16 << 20)
-    links = found.where("linked").select("c", "x").union(more.where("linked").select("c", "x"))
-    node = components(links, "c", "x")
-    labelled = stage_table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")
-    least = stage_table(labelled.groupBy("component").agg(F.min("id").alias("component_id")), "component-ids")
-    by_set = stage_table(labelled.join(least, "component").select("fp", "component_id"), "set-components")
+    stages = Stages(docs.sparkSession)
+    sets, labelled = jaccard_groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, percent, stages)
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_set = stages.table(labelled.join(least, "component").select("fp", "component_id"), "set-components")
+    stages.close("sets", "set-components")
     return sets.join(by_set, "fp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

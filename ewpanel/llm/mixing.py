@@ -13,6 +13,7 @@ from ewpanel.llm.common import stage_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 4096  # of a source at most
+GROUPS = 1024  # of sources, dealt by the top of the tree
 WEIGHTS = (5, 2, 1)
 
 
@@ -90,6 +91,17 @@ def _draw_blocks(seed: int, most: int):
     return run
 
 
+def multivariate_draw(counts: np.ndarray, need: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``need`` draws without replacement fall on each source of ``counts``, one source after another."""
+    drawn, rest = np.zeros_like(counts), int(counts.sum())
+    for k, c in enumerate(counts.tolist()):
+        if need:
+            drawn[k] = rng.hypergeometric(c, rest - c, need) if rest > c else need
+            need -= int(drawn[k])
+        rest -= c
+    return drawn
+
+
 def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Quotas [shard, source] whose column sums are ``counts``.
 
@@ -100,14 +112,7 @@ def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     if shards == 1:
         return counts[None, :]
     left = shards // 2
-    total = int(counts.sum())
-    drawn = np.zeros_like(counts)
-    need, rest = total * left // shards, total
-    for k, c in enumerate(counts.tolist()):  # the multivariate draw, one source after another
-        if need:
-            drawn[k] = rng.hypergeometric(c, rest - c, need) if rest > c else need
-            need -= int(drawn[k])
-        rest -= c
+    drawn = multivariate_draw(counts, int(counts.sum()) * left // shards, rng)
     return np.vstack([split_quotas(drawn, left, rng), split_quotas(counts - drawn, shards - left, rng)])
 
 
@@ -125,8 +130,9 @@ def mix_plan(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tuple[i
     fit; a few exchanges of single blocks bring its words nearer to the target. The splitting
     tree deals exact quotas of block draws to the shards and each source's permuted
     draws fill its quotas one after another, so shards hold disjoint draws. Tasks that
-    see a source whole see at most 4,096 block totals; the tree sees a number for each
-    source. Same input, same seed, same plan.
+    see a source whole see at most 4,096 block totals; the top of the tree sees a number
+    for each of at most 1,024 groups of sources, and each group a number for each of its
+    own. Same input, same seed, same plan.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -141,31 +147,41 @@ def mix_plan(docs: DataFrame, seed: int = 17, shards: int = 64, weights: tuple[i
     totals = stage_table(totals.join(targets.select("key", "source_size", "target"), "key"), "blocks")
     units = stage_table(totals.groupBy("key").applyInPandas(_draw_blocks(seed, most), "key long, block long, pass long, unit long"), "draws")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("key")
-        if len(rows):
-            quotas = split_quotas(rows["n"].to_numpy(np.int64), shards, np.random.default_rng(seed))
-            ends = np.cumsum(quotas, axis=0)
-            for k, key in enumerate(rows["key"].tolist()):
-                yield pd.DataFrame({"key": key, "ends": [ends[:, k].tolist()]})
-
-    counts = units.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    quotas = stage_table(counts.coalesce(1).mapInPandas(split, "key long, ends array<long>"), "quotas")
+    # the top of the tree deals the quotas of groups of sources, each group then deals its own to its sources
+    def over_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        quotas = split_quotas(pdf["n"].to_numpy(np.int64), shards, np.random.default_rng(seed))
+        return pd.DataFrame({"part": pdf["part"].to_numpy(), "quota": list(quotas.T.tolist())})
+
+    def over_sources(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        rng = np.random.default_rng([seed, int(pdf["part"].iloc[0])])
+        left, rows = pdf["n"].to_numpy(np.int64).copy(), []
+        for q in pdf["quota"].iloc[0]:
+            rows.append(multivariate_draw(left, int(q), rng))
+            left -= rows[-1]
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "ends": np.cumsum(np.array(rows), axis=0).T.tolist()})
+
+    counts = stage_table(units.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(GROUPS))), "draw-counts")
+    top = counts.groupBy("part").agg(F.sum("n").alias("n"))  # GROUPS rows at most
+    top = stage_table(top.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: over_groups(pdf), "part long, quota array<long>"), "group-quotas")
+    quotas = stage_table(counts.join(top, "part").groupBy("part").applyInPandas(over_sources, "key long, ends array<long>"), "quotas")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("unit"))).alias("shard")
     return placed, stage_table(units.join(quotas, "key").select("key", "block", "pass", shard), "plan")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document: id, size, source_size, target and taken, the words the mix takes of it, repeats counted.
+    """A row for each document: id, size, source_size, target, taken (the words the mix takes of it, repeats counted) and the shards that hold it.
 
     Null texts have size 0 and are taken 0 words; a null source is a source; sources
     without words have target 0. Repeated rows share a block and are each taken. An
     empty table gives an empty result.
     """
     placed, plan = mix_plan(docs, **options)
-    times = plan.groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = plan.groupBy("key", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # at most ``most`` entries
+    shards = F.coalesce("shards", F.array().cast("array<int>"))
     return placed.join(stage_table(times, "times"), ["key", "block"], "left").select(
-        "id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
+        "id", "size", "source_size", "target", (F.col("size") * F.size(shards)).alias("taken"), F.when(F.col("size") > 0, shards).otherwise(F.array().cast("array<int>")).alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:

@@ -1,17 +1,21 @@
 from ewpanel.llm import jaccard_join as jj
+from ewpanel.llm.common import Stages
 
 from test_jaccard_join import check
 
 
-def test_repeated_rows_do_not_raise_the_size_of_a_centre(spark, monkeypatch):
+def test_repeated_rows_do_not_multiply_tokens_or_pairs(spark, monkeypatch):
     """Chains c - x - y where y is not near c, every document in many rows: each set has its tokens once, each pair its row once."""
-    tables, stage = {}, jj.stage_table
+    rows_of, table = {}, Stages.table
 
-    def kept(df, name, *rest):
-        tables[name] = stage(df, name, *rest)
-        return tables[name]
+    def counted(self, df, name, *rest):
+        out = table(self, df, name, *rest)
+        key = {"tokens": ["fp"], "screened": ["c", "x"], "around": ["c", "x"], "verified-nearest": ["c", "x"], "verified-open": ["c", "x"], "verified-rest": ["c", "x"]}.get(name)
+        if key:
+            rows_of.setdefault(name, []).append((out.count(), out.select(*key).distinct().count()))
+        return out
 
-    monkeypatch.setattr(jj, "stage_table", kept)
+    monkeypatch.setattr(Stages, "table", counted)
     rows = []
     for k in range(8):
         words = [f"{k}t{i}" for i in range(120)]
@@ -21,8 +25,28 @@ def test_repeated_rows_do_not_raise_the_size_of_a_centre(spark, monkeypatch):
                 words[10 + 20 * step + 9 * i] = f"{k}n{step}{i}"
             rows += [(10 * k + step, " ".join(words))] * 6
     check(spark, rows, 5, 80)
-    tokens, found, screened = tables["tokens"], tables["verified"], tables["screened"]
-    assert tokens.count() == tokens.select("fp").distinct().count() > 0
-    assert found.count() == screened.count() > 0
-    members = {r.c: r["count"] for r in screened.groupBy("c").count().collect()}
-    assert {r.c: r.members for r in tables["centres"].collect()} == members
+    assert len(rows_of["tokens"]) == 3 and rows_of["screened"][0][0] == rows_of["around"][0][0] > 0
+    assert all(n == different for found in rows_of.values() for n, different in found)
+    assert jj.BLOCK > 1
+
+
+def test_lower_similarity_looks_into_every_band(spark):
+    """Below 63 percent a partner can lie two size bands further."""
+    rows = [(i, " ".join(f"w{k}" for k in range(n))) for i, n in enumerate((2, 4, 5, 7, 9, 14, 20, 33, 60))]
+    check(spark, rows, 1, 50)
+    check(spark, rows, 1, 60)
+
+
+def test_many_blocks_around_a_centre(spark, monkeypatch):
+    """Sets around one centre that are dealt to several blocks are all compared."""
+    import random
+
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    rng, rows = random.Random(11), []
+    base = [f"t{i}" for i in range(100)]
+    for i in range(150):
+        words = base[:]
+        for _ in range(rng.choice([1, 4, 5, 6])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    check(spark, rows, 4, 85)
