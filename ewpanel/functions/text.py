@@ -57,3 +57,35 @@ def answer_probability(answer: Column) -> Column:
 
 def trend(delta: Column, edge: float = 2.0) -> Column:
     return F.when(delta > edge, "rising").when(delta < -edge, "falling").otherwise("flat")
+
+
+def cell_context(place: Column, issue: Column, c30: Column, p30: Column, c90: Column, p90: Column, c365: Column, since: Column) -> Column:
+    """A cell's situation in a few lines."""
+    return F.format_string(
+        "Cell in %s, issued %s.\nLast 30 days: %d events (%d in the 30 days before, %s, change %+d).\nLast 90 days: %d (%d before).\nLast 365 days: %d.\nDays since the last event: %d.",
+        place, issue.cast("string"), c30, p30, trend(c30 - p30), c30 - p30, c90, p90, c365, since)
+
+
+def country_context(place: Column, share: Column, change: Column, tone: Column) -> Column:
+    """A country's situation in one line, changes with their sign."""
+    return F.format_string("%s: conflict share %.2f (%+.2f), tone %+.1f", place, share, change, tone)
+
+
+#: What each prompt style asks for, before the situation.
+STYLES = {
+    "plain": "Estimate how likely escalation is. Answer with PROBABILITY: and a number between 0 and 1.",
+    "stepwise": "Name two signs for and two against escalation, then answer with PROBABILITY: and a number between 0 and 1.",
+    "json": "Answer only with JSON that has the keys reasoning and probability.",
+}
+
+
+def prompt(style: str, context: Column, analogs: Column | None = None) -> Column:
+    """Instruction, situation and, if given, an array of lines on similar past situations."""
+    parts = [F.lit(STYLES[style]), F.concat(F.lit("Situation: "), context)]
+    if analogs is not None:
+        parts.append(F.when(F.size(analogs) > 0, F.concat(F.lit("Similar situations:\n"), F.array_join(analogs, "\n"))))
+    return F.concat_ws("\n\n", *parts)
+
+
+def analog_line(number: Column, name: Column, similarity: Column, happened: Column) -> Column:
+    return F.format_string("%d. %s (similarity %.2f): %s", number, name, similarity, F.when(happened == 1, "escalated").otherwise("did not escalate"))

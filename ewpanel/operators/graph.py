@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ewpanel.functions.text import pairs_of
+
 
 def knowledge_graph(events: DataFrame, event_id: str, place: str, actors: list[str]) -> DataFrame:
     """Typed edges: an event OCCURRED_AT its place, each of its actors (blank ones apart, once) PARTICIPATED_IN it."""
@@ -47,22 +49,35 @@ def incidence(nodes: DataFrame, node: str, edges: dict[str, list[str]], lookup:
 
 
 def structural_features(inc: DataFrame) -> DataFrame:
-    """Hyperedge degree and co-membership count (sum of the edges' other members) of each node."""
-    return inc.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), (F.sum("edge_size") - F.count(F.lit(1))).alias("co_memberships"))
+    """Hyperedge degree, co-membership count (sum of the edges' other members) and mean degree of the distinct co-members of each node.
+
+    Co-members come from an equi-join on the edge; the incidence bounds an edge by the
+    weeks it reaches back.
+    """
+    own = inc.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), (F.sum("edge_size") - F.count(F.lit(1))).alias("co_memberships"))
+    edge = inc.select("edge_type", "edge_id", "node_id")
+    pairs = edge.join(edge.withColumnRenamed("node_id", "other"), ["edge_type", "edge_id"]).where("node_id != other").select("node_id", "other").distinct()
+    mean = pairs.join(own.select(F.col("node_id").alias("other"), "degree"), "other").groupBy("node_id").agg(F.avg("degree").alias("mean_co_degree"))
+    return own.join(mean, "node_id")
 
 
-def propagate(inc: DataFrame, signal: DataFrame, symmetric: bool = True) -> DataFrame:
-    """One step of hypergraph smoothing of (node_id, x), as edge means and node sums; no node-by-node matrix.
+def propagate(inc: DataFrame, signal: DataFrame, values: list[str], symmetric: bool | None = True, by: list[str] | None = None) -> DataFrame:
+    """One step of hypergraph smoothing of the ``values`` of each node_id, as edge means and node sums; no node-by-node matrix.
 
-    Symmetric: Dv^-1/2 H De^-1 H' Dv^-1/2; else Dv^-1 H De^-1 H'.
+    Symmetric: Dv^-1/2 H De^-1 H' Dv^-1/2; else Dv^-1 H De^-1 H'; with None both, as
+    {value}_symmetric and {value}_asymmetric, from one pass. ``by`` holds separate
+    hypergraphs apart.
     """
-    degree = inc.groupBy("node_id").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("deg"))
-    weight = 1 / F.sqrt("deg") if symmetric else F.lit(1.0)
-    x = inc.select("node_id", "edge_type", "edge_id", "edge_size").join(degree, "node_id").join(signal, "node_id").withColumn("wx", F.col("x") * weight)
-    edge = x.groupBy("edge_type", "edge_id").agg((F.sum("wx") / F.max("edge_size")).alias("ex"))
-    back = inc.select("node_id", "edge_type", "edge_id").join(edge, ["edge_type", "edge_id"]).join(degree, "node_id")
-    scale = 1 / F.sqrt("deg") if symmetric else 1 / F.col("deg")
-    return back.groupBy("node_id").agg(F.sum(F.col("ex") * scale).alias("x"))
+    by = by or []
+    degree = inc.groupBy(*by, "node_id").agg(F.count(F.lit(1)).alias("deg"))
+    x = inc.select(*by, "node_id", "edge_type", "edge_id", "edge_size").join(degree.join(signal, [c for c in signal.columns if c not in values]), [*by, "node_id"])
+    modes = {"_symmetric": (1 / F.sqrt("deg"),) * 2, "_asymmetric": (F.lit(1.0), 1 / F.col("deg"))}
+    if symmetric is not None:
+        modes = {"": modes["_symmetric" if symmetric else "_asymmetric"]}
+    means = [(F.sum(F.col(v) * before) / F.max("edge_size")).alias(v + name) for v in values for name, (before, _) in modes.items()]
+    edge = x.groupBy(*by, "edge_type", "edge_id").agg(*means)
+    back = inc.select(*by, "node_id", "edge_type", "edge_id").join(edge, [*by, "edge_type", "edge_id"]).join(degree, [*by, "node_id"])
+    return back.groupBy(*by, "node_id").agg(*[F.sum(F.col(v + name) * after).alias(v + name) for v in values for name, (_, after) in modes.items()])
 
 
 def diffuse(values: DataFrame, adjacency: DataFrame, key: str, cell: str, value: str, hops: int = 3) -> DataFrame:
@@ -84,8 +99,8 @@ def diffuse(values: DataFrame, adjacency: DataFrame, key: str, cell: str, value:
 
 def co_occurrence(docs: DataFrame, themes: str, least: int = 2) -> DataFrame:
     """Documents in which two entries of the array occur together: theme_a < theme_b, weight."""
-    each = docs.select(F.explode(F.expr(f"flatten(transform({themes}, (x, i) -> transform(slice({themes}, i + 2, size({themes})), y -> struct(least(x, y) as a, greatest(x, y) as b))))")).alias("p"))
-    pairs = each.groupBy(F.col("p.a").alias("theme_a"), F.col("p.b").alias("theme_b")).agg(F.count(F.lit(1)).alias("weight"))
+    each = docs.select(F.explode(pairs_of(F.col(themes))).alias("p"))
+    pairs = each.groupBy(F.least("p.a", "p.b").alias("theme_a"), F.greatest("p.a", "p.b").alias("theme_b")).agg(F.count(F.lit(1)).alias("weight"))
     return pairs.where(F.col("weight") >= least)
 
 
@@ -97,3 +112,28 @@ def ppmi(edges: DataFrame) -> DataFrame:
     joined = both.join(rows, "theme_a").join(rows.select(F.col("theme_a").alias("theme_b"), F.col("r").alias("c")), "theme_b").crossJoin(F.broadcast(total))  # one row
     value = F.ln(F.col("weight") * F.col("t") / (F.col("r") * F.col("c")) + 1e-9)
     return joined.select("theme_a", "theme_b", value.alias("ppmi")).where("ppmi > 0")
+
+
+def spread_labels(edges: DataFrame, nodes: DataFrame, alpha: float = 0.2, rounds: int = 5) -> DataFrame:
+    """Label spreading on an undirected graph (u, w): node, prob of class 1.
+
+    ``nodes`` has node and known (0, 1 or null). Each round F = alpha * S F + (1 - alpha) * Y
+    with S the symmetrically normalised adjacency; at the end the two classes' shares,
+    the rate of known labels where neither reaches a node. With fewer than ten known
+    labels or one class the rate stands for all.
+    """
+    known, pos = nodes.agg(F.count("known"), F.sum("known")).first()
+    rate = float(pos or 0) / known if known else 0.0
+    if known < 10 or not 0 < pos < known:
+        return nodes.select("node", F.lit(rate).alias("prob"))
+    both = edges.select("u", "w").union(edges.select("w", "u")).where("u != w").distinct()
+    degree = both.groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("deg"))
+    step = both.join(degree, "u").join(degree.select(F.col("u").alias("w"), F.col("deg").alias("deg_w")), "w")
+    step = step.select("u", "w", (alpha / F.sqrt(F.col("deg") * F.col("deg_w"))).alias("s"))
+    start = nodes.select(F.col("node").alias("u"), *[F.when(F.col("known") == c, 1 - alpha).otherwise(0.0).alias(f"y{c}") for c in (0, 1)])
+    state = start.select("u", F.col("y0").alias("f0"), F.col("y1").alias("f1"))
+    for _ in range(rounds):
+        moved = step.join(state.withColumnRenamed("u", "w"), "w").groupBy("u").agg(*[F.sum(F.col("s") * F.col(f"f{c}")).alias(f"g{c}") for c in (0, 1)])
+        state = start.join(moved, "u", "left").select("u", *[(F.col(f"y{c}") + F.coalesce(f"g{c}", F.lit(0.0))).alias(f"f{c}") for c in (0, 1)])
+    total = F.col("f0") + F.col("f1")
+    return state.select(F.col("u").alias("node"), F.when(total > 0, F.col("f1") / total).otherwise(rate).alias("prob"))

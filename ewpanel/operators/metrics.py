@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ewpanel.operators.ranks import running
 
 
 def confusion(df: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
@@ -48,11 +48,8 @@ def losses(df: DataFrame, by: list[str]) -> DataFrame:
 
 def by_score(df: DataFrame, by: list[str]) -> DataFrame:
     """n and positives of each distinct score, with running totals from the highest score down."""
-    w = Window.partitionBy(*by).orderBy(F.desc("prob"))
-    total = Window.partitionBy(*by)
     scores = df.groupBy(*by, "prob").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("pos"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return scores.withColumns({"flags": F.sum("n").over(run), "hits": F.sum("pos").over(run), "n_all": F.sum("n").over(total), "pos_all": F.sum("pos").over(total)})
+    return running(scores, by, "prob", {"flags": F.col("n"), "hits": F.col("pos")}).withColumnsRenamed({"flags_all": "n_all", "hits_all": "pos_all"})
 
 
 def ranking(df: DataFrame, by: list[str]) -> DataFrame:
@@ -98,21 +95,21 @@ def scan_until_below(df: DataFrame, target: float, by: list[str], tie: str, firs
     """Rule C: from the highest score down, the score at the first rank k >= ``first`` whose top-k precision is below target.
 
     ``strict`` returns the score before it. Without a breach the lowest score. Ranks
-    are by (score desc, ``tie``); the ledger's groups must be bounded, since ranks need
-    every row in order.
+    are by (score desc, ``tie``), counted by ranges of scores.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc("prob"), tie)
-    ranked = df.withColumns({"k": F.row_number().over(w), "_hits": F.sum("actual").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_prev": F.lag("prob", 1).over(w)})
+    r = running(df, by, "prob", {"k": F.lit(1).cast("long"), "_hits": F.col("actual")}, True, [tie])
     breach = (F.col("k") >= first) & (F.col("_hits") / F.col("k") < target)
-    value = F.coalesce("_prev", "prob") if strict else F.col("prob")
-    return ranked.groupBy(*by).agg(F.coalesce(F.min_by(value, F.when(breach, F.col("k"))), F.min("prob")).alias("threshold"))
+    found = r.groupBy(*by).agg(F.min(F.when(breach, F.col("k"))).alias("_at"), F.min("prob").alias("_lowest"))
+    r = r.select(*by, "k", "prob")
+    at = F.col("_at") - 1 if strict else F.col("_at")
+    joined = found.withColumn("k", at).join(r, [*by, "k"], "left")
+    return joined.select(*by, F.coalesce("prob", F.when(F.col("_at").isNull(), F.col("_lowest"))).alias("threshold"))
 
 
 def precision_at_positives(df: DataFrame, by: list[str], tie: str) -> DataFrame:
     """Precision of the top N, N the number of positives (at least one)."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("prob"), tie)), "_n": F.greatest(F.lit(1), F.sum("actual").over(w))})
-    return ranked.where("_k <= _n").groupBy(*by).agg(F.max("_n").alias("top_n"), F.avg("actual").alias("precision_at_n"))
+    r = running(df, by, "prob", {"_k": F.lit(1).cast("long"), "_pos": F.col("actual")}, True, [tie]).withColumn("_n", F.greatest(F.lit(1), F.col("_pos_all")))
+    return r.where("_k <= _n").groupBy(*by).agg(F.max("_n").alias("top_n"), F.avg("actual").alias("precision_at_n"))
 
 
 def frozen(select_: DataFrame, holdout: DataFrame, target: float, by: list[str], min_flags: int = 5) -> DataFrame:
@@ -121,3 +118,20 @@ def frozen(select_: DataFrame, holdout: DataFrame, target: float, by: list[str],
     parts = select_.withColumn("part", F.lit("select")).unionByName(holdout.withColumn("part", F.lit("holdout")))
     joined = parts.join(chosen, by) if by else parts.crossJoin(F.broadcast(chosen))  # one row
     return f1_fpr_mcc(confusion(joined.where("threshold is not null"), F.col("threshold"), [*by, "part", "threshold"]))
+
+
+def compare_callers(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Accuracy of two boolean callers (null: no answer) and what the second changes of the first's alarms."""
+    right = lambda c: F.avg((F.col(c) == (F.col("actual") == 1)).cast("int"))
+    changed = F.col(a) & ~F.col(b)
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_cases"), F.round(right(a), 6).alias("accuracy_a"), F.round(right(b), 6).alias("accuracy_b"),
+        F.count_if(changed & (F.col("actual") == 0)).alias("false_alarms_corrected"), F.count_if(changed & (F.col("actual") == 1)).alias("hits_lost"))
+
+
+def bundle(df: DataFrame, by: list[str], tie: str, threshold: float = 0.5) -> DataFrame:
+    """All metrics of a ledger in one row for each group: confusion rates, F1, MCC, losses, ranking and precision at the positives."""
+    out = f1_fpr_mcc(confusion(df, F.lit(threshold), by))
+    for part in (losses(df, by), ranking(df, by), precision_at_positives(df, by, tie)):
+        out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row
+    return out

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def standardise(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Each feature by the mean and population deviation (+1e-9) of its group, from one grouped aggregate."""
-    stats = df.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+def standardise(df: DataFrame, columns: list[str], by: list[str], train: DataFrame | None = None) -> DataFrame:
+    """Each feature by the mean and population deviation (+1e-9) of its group in ``train`` (``df`` itself if none), from one grouped aggregate."""
+    stats = (df if train is None else train).groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = df.join(stats, by)
     return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-9) for c in columns}).drop(*stats.columns[len(by):])
 
@@ -21,24 +23,63 @@ def cosine(pairs: list[tuple[Column, Column]]) -> Column:
     return dot / (F.sqrt(a) * F.sqrt(b) + 1e-9)
 
 
-def analogs(train: DataFrame, test: DataFrame, by: list[str], columns: list[str], train_id: str, test_id: str, label: str, k: int = 5) -> DataFrame:
+def analogs(train: DataFrame, test: DataFrame, by: list[str], columns: list[str], train_id: str, test_id: str, label: str, k: int = 5, weights: dict[str, float] | None = None, recency: str | None = None, blend: float = 0.0) -> DataFrame:
     """The k most similar training rows (cosine of standardised features) of each test row within its group.
 
     An equi-join on the group; ranks keep k rows of each test row before they move
-    (window group limit). Ties go to the smaller training id.
+    (window group limit). Ties go to the smaller training id. ``weights`` scale
+    features; with ``recency`` (a column of the training rows, 0 to 1) the similarity
+    is blended with it by ``blend``.
     """
-    a = test.select(*by, F.col(test_id).alias("_q"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    b = train.select(*by, F.col(train_id).alias("_t"), F.col(label).alias("_y"), *[F.col(c).alias(f"t_{c}") for c in columns])
-    pairs = a.join(b, by).withColumn("similarity", F.round(cosine([(F.col(f"q_{c}"), F.col(f"t_{c}")) for c in columns]), 9))
+    scale = lambda c: F.col(c) * (weights or {}).get(c, 1.0)
+    a = test.select(*by, F.col(test_id).alias("_q"), *[scale(c).alias(f"q_{c}") for c in columns])
+    b = train.select(*by, F.col(train_id).alias("_t"), F.col(label).alias("_y"), (F.col(recency) if recency else F.lit(0.0)).alias("_r"), *[scale(c).alias(f"t_{c}") for c in columns])
+    pairs = a.join(b, by).withColumn("similarity", F.round(recency_blend(cosine([(F.col(f"q_{c}"), F.col(f"t_{c}")) for c in columns]), F.col("_r"), blend), 9))
     w = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_t")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_q").alias(test_id), F.col("_t").alias(f"analog_{train_id}"), "rank", "similarity", F.col("_y").alias("analog_label"))
 
 
 def analog_score(rate: Column, d_share: Column, d_goldstein: Column, d_actors: Column) -> Column:
     """clip(rate / 2 + (1/2 + change / 2) / 2) with the change of share, tone and actors, each through tanh."""
+    # fixed values: the weights and scales of the three changes
     change = 0.5 * F.tanh(3 * d_share) + 0.3 * F.tanh(-d_goldstein / 3) + 0.2 * F.tanh(d_actors / 5)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 * rate + 0.5 * (0.5 + 0.5 * change)))
 
 
 def recency_blend(similarity: Column, recency: Column, weight: float) -> Column:
     return (1 - weight) * similarity + weight * recency
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+    """The k nearest other rows (Euclidean, ties to the smaller id) of every row: u, w, distance.
+
+    Exact: rows are dealt by a hash to blocks of about ``block``, any two blocks are
+    compared by one task, and each gives k candidates a row. The distances computed grow
+    with the square of the rows, as any exact search of all rows does; no task holds
+    more than two blocks.
+    """
+    n = df.count()
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    dealt = df.select(F.col(id_col).cast("long").alias("u"), F.col(vector).cast("array<double>").alias("v"), own.alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("u", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sides = {b: pdf[pdf["own"] == b] for b in {i, j}}
+        for a, b in {(i, j), (j, i)}:
+            p, q = sides[a], sides[b]
+            if not len(p) or not len(q):
+                continue
+            x, y, w = np.stack(p["v"]), np.stack(q["v"]), q["u"].to_numpy()
+            for u, v in zip(p["u"].tolist(), x):
+                d = np.round(((y - v) ** 2).sum(1), 9)
+                order = np.lexsort((w, d))[: k + 1]
+                order = order[w[order] != u][:k]
+                out.append(pd.DataFrame({"u": u, "w": w[order], "distance": d[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"u": [], "w": [], "distance": []})
+
+    found = dealt.groupBy("i", "j").applyInPandas(run, "u long, w long, distance double")
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("distance", "w"))
+    return found.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,24 +34,66 @@ def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], can
     base, _ = residual(list(range(1, k - 1)))
     full, beta = residual(list(range(1, k)))
     free = sums["n"] - entities - (k - 1)
-    return {"f": float((base - full) / (full / free)), "r2": float(1 - full / m[0, 0]), "coef": float(beta[-1]), "n": int(sums["n"])}
+    f = float((base - full) / (full / free))
+    return {"f": f, "p": f_tail(f, 1, free), "r2": float(1 - full / m[0, 0]), "coef": float(beta[-1]), "n": int(sums["n"])}
+
+
+def f_tail(f: float, a: int, b: int) -> float:
+    """P(F > f) with a and b degrees of freedom: a regularised incomplete beta function by its continued fraction."""
+    if not f > 0 or b <= 0:
+        return 1.0
+    x, p, q = b / (b + a * f), b / 2, a / 2
+    front = math.exp(math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) + p * math.log(x) + q * math.log1p(-x)) if 0 < x < 1 else 0.0
+
+    def fraction(x: float, p: float, q: float) -> float:
+        value, c, d = 1.0, 1.0, 0.0
+        for i in range(400):
+            m = i // 2
+            if i == 0:
+                step = 1.0
+            elif i % 2 == 0:
+                step = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+            else:
+                step = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+            d = 1 / (1 + step * d or 1e-300)
+            c = 1 + step / c or 1e-300
+            value *= c * d
+            if abs(1 - c * d) < 1e-14:
+                break
+        return value - 1
+
+    if x < (p + 1) / (p + q + 2):
+        return front * fraction(x, p, q) / p
+    return 1 - front * fraction(1 - x, q, p) / q
 
 
 def ssr_granger(df: DataFrame, entity: str, period: str, y: str, x: str, lags: int = 1, least: int = 12) -> DataFrame:
-    """Per entity: F of adding ``lags`` lags of x to an autoregression of y. Each group is one entity's series."""
+    """Per entity: for 1 to ``lags`` lags of x added to an autoregression of y the F-test with the smallest p.
+
+    Each group is one entity's series. Returns f, p, lag and n of that test; entities
+    with fewer than ``least`` usable periods have none.
+    """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        a, b, n = pdf[y].to_numpy(float), pdf[x].to_numpy(float), len(pdf) - lags
-        if n < max(least, 2 * lags + 2):
-            return pd.DataFrame({entity: [], "f": [], "n": []})
-        target = a[lags:]
-        own = np.column_stack([np.ones(n), *[a[lags - k : len(a) - k] for k in range(1, lags + 1)]])
-        more = np.column_stack([own, *[b[lags - k : len(b) - k] for k in range(1, lags + 1)]])
+    def test(a: np.ndarray, b: np.ndarray, k: int):
+        n = len(a) - k
+        if n < max(least, 2 * k + 2):
+            return None
+        target = a[k:]
+        own = np.column_stack([np.ones(n), *[a[k - i : len(a) - i] for i in range(1, k + 1)]])
+        more = np.column_stack([own, *[b[k - i : len(b) - i] for i in range(1, k + 1)]])
         rss = [float(((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2).sum()) for m in (own, more)]
         free = n - more.shape[1]
-        f = (rss[0] - rss[1]) / lags / (rss[1] / free) if rss[1] > 0 else float("nan")
-        return pd.DataFrame({entity: [pdf[entity].iloc[0]], "f": [f], "n": [n]})
+        if not rss[1] > 0:
+            return None
+        f = (rss[0] - rss[1]) / k / (rss[1] / free)
+        return f_tail(f, k, free), f, k, n
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(period)
+        a, b = pdf[y].to_numpy(float), pdf[x].to_numpy(float)
+        found = [t for t in (test(a, b, k) for k in range(1, lags + 1)) if t]
+        rows = [(pdf[entity].iloc[0], f, p, k, n) for p, f, k, n in sorted(found)[:1]]
+        return pd.DataFrame(rows, columns=[entity, "f", "p", "lag", "n"]).astype({"f": float, "p": float, "lag": "int32", "n": "int64"})
 
-    return df.select(entity, period, y, x).dropna().groupBy(entity).applyInPandas(run, f"{entity} string, f double, n long")
+    return df.select(entity, period, y, x).dropna().groupBy(entity).applyInPandas(run, f"{entity} string, f double, p double, lag int, n long")

@@ -41,12 +41,12 @@ def momentum(c30: Column, c30_prior: Column, c90: Column, c90_prior: Column) ->
     return {"delta_30d": c30 - c30_prior, "delta_90d": c90 - c90_prior, "momentum": c30 / (c90 / 3 + 0.1)}
 
 
-def hawkes(events: DataFrame, issues: DataFrame, key: str, day: str, issue_day: str, half_lives: tuple[int, ...] = (3, 14, 30), most: int = 200) -> DataFrame:
+def hawkes(events: DataFrame, issues: DataFrame, key: str, day: str, issue_day: str, half_lives: tuple[int, ...] = (3, 14, 30), most: int = 200, weight: str | None = None) -> DataFrame:
     """Decaying intensity at each issue: the sum over ages 1..most of exp(-ln2 / half life * age).
 
-    Daily counts meet the issues by buckets of ``most`` days: an issue looks into two.
+    Daily counts (sums of ``weight``, if given) meet the issues by buckets of ``most`` days: an issue looks into two.
     """
-    daily = events.groupBy(key, F.col(day).alias("_d")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_d") / most))
+    daily = events.groupBy(key, F.col(day).alias("_d")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")).withColumn("_b", F.floor(F.col("_d") / most))
     probe = issues.withColumn("_b", F.explode(F.array(F.floor(F.col(issue_day) / most), F.floor(F.col(issue_day) / most) - 1)))
     age = F.col(issue_day) - F.col("_d")
     joined = probe.join(daily, [key, "_b"], "left").withColumn("_age", F.when((age >= 1) & (age <= most), age))

@@ -41,19 +41,20 @@ def _age(lo, hi, cond="true"):
 @query("candidate_age_windows", f"""WITH {CAND_SQL}
  SELECT c.priogrid_gid, c.issue_date, {_age(1, 30)} count_30d, {_age(1, 60)} count_60d, {_age(1, 90)} count_90d, {_age(1, 365)} count_365d, {_age(31, 60)} prior_30d, {_age(91, 180)} prior_90d,
         round({_age(1, 30)} / ({_age(1, 90)} / 3.0 + 0.1), 6) momentum, i - max(d) FILTER (d < i) days_since_last, count(*) FILTER (d < i) n_hist,
-        round(count(*) FILTER (d < i AND type_of_violence = 1) / count(*) FILTER (d < i), 6) share_state
+        round(count(*) FILTER (d < i AND type_of_violence = 1) / count(*) FILTER (d < i), 6) share_state,
+        round(count(*) FILTER (d < i AND type_of_violence = 3) / count(*) FILTER (d < i), 6) share_one_sided
  FROM cand c JOIN ce e ON e.priogrid_gid = c.priogrid_gid GROUP BY c.priogrid_gid, c.issue_date, i HAVING count(*) FILTER (d < i) > 0""")
 def candidate_age_windows(spark, d):
     e = grid_events(spark, d)
     past = windows.PAST
     features = {
         **windows.age_counts((30, 60, 90, 365)), "prior_30d": (F.sum("w"), (-60, -31), windows.or_zero), "prior_90d": (F.sum("w"), (-180, -91), windows.or_zero),
-        "last_day": (F.max("event_day"), past), "n_hist": (F.sum("w"), past, windows.or_zero), "n_state": (F.sum(F.when(F.col("type_of_violence") == 1, 1)), past, windows.or_zero)}
+        "last_day": (F.max("event_day"), past), "n_hist": (F.sum("w"), past, windows.or_zero), **{n: (F.sum(F.when(F.col("type_of_violence") == k, 1)), past, windows.or_zero) for n, k in (("n_state", 1), ("n_one_sided", 3))}}
     e = e.withColumn("event_day", F.col("day"))
     out = windows.around_issues(e, candidates(e), "priogrid_gid", "day", "issue_day", features, ["w", "event_day", "type_of_violence"])
     # events of cells that are not active have no issues and vanish with the filter on issues
-    out = out.where("n_hist > 0").withColumns({**windows.momentum(F.col("count_30d"), F.col("prior_30d"), F.col("count_90d"), F.col("prior_90d")), "days_since_last": F.col("issue_day") - F.col("last_day"), "share_state": F.round(F.col("n_state") / F.col("n_hist"), 6)})
-    return out.select("priogrid_gid", "issue_date", "count_30d", "count_60d", "count_90d", "count_365d", "prior_30d", "prior_90d", F.round("momentum", 6).alias("momentum"), "days_since_last", "n_hist", "share_state")
+    out = out.where("n_hist > 0").withColumns({**windows.momentum(F.col("count_30d"), F.col("prior_30d"), F.col("count_90d"), F.col("prior_90d")), "days_since_last": F.col("issue_day") - F.col("last_day"), "share_state": F.round(F.col("n_state") / F.col("n_hist"), 6), "share_one_sided": F.round(F.col("n_one_sided") / F.col("n_hist"), 6)})
+    return out.select("priogrid_gid", "issue_date", "count_30d", "count_60d", "count_90d", "count_365d", "prior_30d", "prior_90d", F.round("momentum", 6).alias("momentum"), "days_since_last", "n_hist", "share_state", "share_one_sided")
 
 
 @query("candidate_forward_labels", f"""WITH {CAND_SQL}
@@ -102,7 +103,8 @@ def candidate_rings(spark, d):
 def country_recent_counts(spark, d):
     e = grid_events(spark, d)
     issues = e.select("country").distinct().select("country", F.explode(F.expr(f"sequence(date '{FIRST}', date '{LAST}', interval 7 days)")).alias("issue_date")).withColumn("issue_day", keys.day_number(F.col("issue_date")))
-    return windows.around_issues(e, issues, "country", "day", "issue_day", windows.age_counts((30,)), ["w"]).select("country", "issue_date", "count_30d")
+    daily = e.groupBy("country", "day").agg(F.sum("w").alias("w"))  # a row for each day before anything is windowed
+    return windows.around_issues(daily, issues, "country", "day", "issue_day", windows.age_counts((30,)), ["w"]).select("country", "issue_date", "count_30d")
 
 
 @query("hawkes_intensity", f"""WITH {CAND_SQL} SELECT c.priogrid_gid, c.issue_date,
@@ -115,6 +117,19 @@ def hawkes_intensity(spark, d):
     return issues.join(h, ["priogrid_gid", "issue_day"]).select("priogrid_gid", "issue_date", *[F.round(f"hawkes_{k}", 6).alias(f"hawkes_{k}") for k in (3, 14, 30)])
 
 
+@query("hawkes_ring1", f"""WITH {CAND_SQL}, r1 AS {_ring_sql(1)} SELECT c.priogrid_gid, c.issue_date,
+ {", ".join(f"round(coalesce(sum(exp(-ln(2.0) / {h} * (i - d))) FILTER (i - d BETWEEN 1 AND 200), 0), 6) hawkes_{h}" for h in (3, 14, 30))}
+ FROM cand c LEFT JOIN r1 USING (priogrid_gid) GROUP BY 1, 2""")
+def hawkes_ring1(spark, d):
+    """The intensity of all events in the eight neighbouring cells together."""
+    e = grid_events(spark, d)
+    issues = candidates(e)
+    daily = e.groupBy("priogrid_gid", "day").agg(F.sum("w").alias("w"))  # before each day is copied to eight cells
+    near = daily.select(F.explode(keys.ring(F.col("priogrid_gid"), 1)).alias("priogrid_gid"), "day", "w").join(cells_of(e), "priogrid_gid", "left_semi")
+    h = windows.hawkes(near, issues.select("priogrid_gid", "issue_day"), "priogrid_gid", "day", "issue_day", weight="w")
+    return issues.join(h, ["priogrid_gid", "issue_day"]).select("priogrid_gid", "issue_date", *[F.round(f"hawkes_{k}", 6).alias(f"hawkes_{k}") for k in (3, 14, 30)])
+
+
 @query("cusum", f"""WITH {CAND_SQL}, k AS (SELECT c.priogrid_gid, c.issue_date, {_age(1, 7)} w1, {_age(8, 14)} w2, {_age(15, 21)} w3, {_age(22, 28)} w4, {_age(29, 112)} / 12.0 b FROM cand c JOIN ce e ON e.priogrid_gid = c.priogrid_gid GROUP BY 1, 2)
  SELECT priogrid_gid, issue_date, round(greatest(0, w1 - b, w1 + w2 - 2 * b, w1 + w2 + w3 - 3 * b, w1 + w2 + w3 + w4 - 4 * b), 5) cusum_up, round(least(0, w1 - b, w1 + w2 - 2 * b, w1 + w2 + w3 - 3 * b, w1 + w2 + w3 + w4 - 4 * b), 5) cusum_down,
         round((w1 + w2 + w3 + w4) / 4.0 / (b + 0.1), 5) cusum_ratio FROM k""")
@@ -132,17 +147,18 @@ def month_anomaly(spark, d):
 
 
 @query("grid_diffusion", f"""WITH {CAND_SQL},
- c30 AS (SELECT m.issue_date AS issue, e.priogrid_gid g, CAST(count(*) AS double) x FROM ev e JOIN mondays m ON m.issue_date - e.date_start BETWEEN 1 AND 30 WHERE year(m.issue_date) = 1998 GROUP BY 1, 2),
+ c30 AS (SELECT m.issue_date AS issue, e.priogrid_gid g, CAST(count(*) AS double) x FROM ev e JOIN mondays m ON m.issue_date - e.date_start BETWEEN 1 AND 30 GROUP BY 1, 2),
  allc AS (SELECT DISTINCT priogrid_gid g FROM ev), adj AS (SELECT a.g, b.g nb FROM allc a JOIN allc b ON abs((a.g - 1) // 720 - (b.g - 1) // 720) <= 1 AND abs((a.g - 1) % 720 - (b.g - 1) % 720) <= 1 AND a.g <> b.g),
  deg AS (SELECT g, count(*) k FROM adj GROUP BY 1),
  h1 AS (SELECT issue, g, sum(v) x FROM (SELECT issue, g, x / 2 v FROM c30 UNION ALL SELECT issue, adj.g, x / 2 / k FROM c30 JOIN adj ON adj.nb = c30.g JOIN deg ON deg.g = adj.g) GROUP BY 1, 2),
- h2 AS (SELECT issue, g, sum(v) x FROM (SELECT issue, g, x / 2 v FROM h1 UNION ALL SELECT issue, adj.g, x / 2 / k FROM h1 JOIN adj ON adj.nb = h1.g JOIN deg ON deg.g = adj.g) GROUP BY 1, 2)
- SELECT c30.issue, c30.g priogrid_gid, round(h1.x, 9) hop_1, round(h2.x, 9) hop_2 FROM c30 JOIN h1 USING (issue, g) JOIN h2 USING (issue, g)""")
+ h2 AS (SELECT issue, g, sum(v) x FROM (SELECT issue, g, x / 2 v FROM h1 UNION ALL SELECT issue, adj.g, x / 2 / k FROM h1 JOIN adj ON adj.nb = h1.g JOIN deg ON deg.g = adj.g) GROUP BY 1, 2),
+ h3 AS (SELECT issue, g, sum(v) x FROM (SELECT issue, g, x / 2 v FROM h2 UNION ALL SELECT issue, adj.g, x / 2 / k FROM h2 JOIN adj ON adj.nb = h2.g JOIN deg ON deg.g = adj.g) GROUP BY 1, 2)
+ SELECT c30.issue, c30.g priogrid_gid, round(h1.x, 9) hop_1, round(h2.x, 9) hop_2, round(h3.x, 9) hop_3 FROM c30 JOIN h1 USING (issue, g) JOIN h2 USING (issue, g) JOIN h3 USING (issue, g)""")
 def grid_diffusion(spark, d):
     e = grid_events(spark, d)
     mondays = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.date_add(F.next_day("date_start", "Mon"), (k * 7).cast("int")))
-    ahead = e.select("priogrid_gid", "date_start", F.explode(mondays).alias("issue")).where("datediff(issue, date_start) between 1 and 30 and year(issue) = 1998")
+    ahead = e.select("priogrid_gid", "date_start", F.explode(mondays).alias("issue")).where("datediff(issue, date_start) between 1 and 30").where(f"issue between date '{FIRST}' and date '{LAST}'")
     counts = ahead.groupBy("issue", "priogrid_gid").agg(F.count(F.lit(1)).alias("x"))
     cells = e.select("priogrid_gid").distinct()
     adjacency = cells.select("priogrid_gid", F.explode(keys.ring(F.col("priogrid_gid"), 1)).alias("neighbour")).join(cells.withColumnRenamed("priogrid_gid", "neighbour"), "neighbour", "left_semi")
-    return graph.diffuse(counts, adjacency, "issue", "priogrid_gid", "x", 2).withColumns({c: F.round(c, 9) for c in ("hop_1", "hop_2")})
+    return graph.diffuse(counts, adjacency, "issue", "priogrid_gid", "x", 3).withColumns({c: F.round(c, 9) for c in ("hop_1", "hop_2", "hop_3")})

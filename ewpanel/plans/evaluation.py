@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ewpanel.operators import folds, metrics
+from ewpanel.operators import folds, metrics, ranks
 from ewpanel.operators.windows import best_so_far
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import LEDGER_SQL, ledger
@@ -54,9 +54,9 @@ def precision_recall_curve(spark, d):
     return rounded(metrics.precision_recall_curve(ledger(spark, d), ["entity"]), "precision", "recall").withColumn("threshold", F.round("threshold", 9))
 
 
-@query("threshold_rule_a", f"""WITH {LEDGER_SQL}, {SCORES} SELECT entity, t target, round(min(prob) FILTER (hits / flags >= t AND flags >= 5), 9) threshold FROM c, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]::double[]) t) GROUP BY 1, 2""")
+@query("threshold_rule_a", f"""WITH {LEDGER_SQL}, {SCORES} SELECT entity, t target, round(min(prob) FILTER (hits / flags >= t AND flags >= 5), 9) threshold FROM c, (SELECT unnest([0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9]::double[]) t) GROUP BY 1, 2""")
 def threshold_rule_a(spark, d):
-    return metrics.lowest_reaching(ledger(spark, d), [0.5, 0.6, 0.7, 0.8, 0.9], ["entity"]).withColumn("threshold", F.round("threshold", 9))
+    return metrics.lowest_reaching(ledger(spark, d), [0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9], ["entity"]).withColumn("threshold", F.round("threshold", 9))
 
 
 @query("threshold_rule_b", f"""WITH {LEDGER_SQL}, {SCORES} SELECT entity, round(coalesce(min(prob) FILTER (hits / flags >= 0.85), first(prob ORDER BY abs(hits / flags - 0.85), prob DESC)), 9) threshold,
@@ -83,11 +83,11 @@ def frozen_threshold_validation(spark, d):
 
 
 @query("support_sliced_metrics", f"""WITH {LEDGER_SQL}, h AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) support FROM fx_ledger),
- k AS (SELECT lvl, {COUNTS.replace('t ', '0.6 ')} FROM h, (SELECT unnest([30, 50, 100, 150]) lvl) WHERE support >= lvl GROUP BY 1) SELECT lvl support_level, tp, fp, fn, tn, {RATES} FROM k""")
+ k AS (SELECT lvl, {COUNTS.replace('t ', '0.6 ')} FROM h, (SELECT unnest([30, 50, 75, 100, 125, 150, 175]) lvl) WHERE support >= lvl GROUP BY 1) SELECT lvl support_level, tp, fp, fn, tn, {RATES} FROM k""")
 def support_sliced_metrics(spark, d):
     led = ledger(spark, d).withColumn("_d", F.unix_date("period"))
     led = led.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("entity").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)))
-    each = led.withColumn("support_level", F.explode(F.array(*[F.lit(v) for v in (30, 50, 100, 150)]))).where("support >= support_level")
+    each = led.withColumn("support_level", F.explode(F.array(*[F.lit(v) for v in (30, 50, 75, 100, 125, 150, 175)]))).where("support >= support_level")
     return rounded(metrics.confusion(each, F.lit(0.6), ["support_level"]), "precision", "recall", "specificity", "accuracy", "coverage")
 
 
@@ -97,16 +97,17 @@ def precision_at_positives(spark, d):
     return rounded(metrics.precision_at_positives(ledger(spark, d), ["entity"], "id"), "precision_at_n")
 
 
-@query("entity_breakdown", f"""WITH {LEDGER_SQL} SELECT entity, count(*) n, CAST(sum(actual) AS bigint) n_pos, round(avg(prob), 6) mean_prob FROM fx_ledger WHERE period >= DATE '2000-01-03' GROUP BY 1 HAVING count(*) >= 30 AND sum(actual) >= 1""")
+@query("entity_breakdown", f"""WITH {LEDGER_SQL} SELECT entity, count(*) n, CAST(sum(actual) AS bigint) n_pos, round(avg(prob), 6) mean_prob FROM fx_ledger GROUP BY 1 HAVING count(*) >= 30 AND sum(actual) >= 1""")
 def entity_breakdown(spark, d):
-    g = ledger(spark, d).where("period >= date '2000-01-03'").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("n_pos"), F.round(F.avg("prob"), 6).alias("mean_prob"))
+    g = ledger(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("n_pos"), F.round(F.avg("prob"), 6).alias("mean_prob"))
     return g.where("n >= 30 and n_pos >= 1")
 
 
 @query("score_distribution", f"""WITH {LEDGER_SQL} SELECT actual, round(avg(prob), 6) mean_prob, round(quantile_cont(prob, 0.5), 6) p50, round(quantile_cont(prob, 0.9), 6) p90, round(quantile_cont(prob, 0.99), 6) p99 FROM fx_ledger GROUP BY 1""")
 def score_distribution(spark, d):
-    q = F.percentile("prob", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return ledger(spark, d).groupBy("actual").agg(F.round(F.avg("prob"), 6).alias("mean_prob"), q.alias("q")).select("actual", "mean_prob", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    led = ledger(spark, d)
+    q = ranks.quantiles(led, ["actual"], "prob", [0.5, 0.9, 0.99])
+    return led.groupBy("actual").agg(F.round(F.avg("prob"), 6).alias("mean_prob")).join(q, "actual").select("actual", "mean_prob", *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 @query("correlations", f"""WITH {LEDGER_SQL} SELECT entity, round(corr(prob, actual), 6) r FROM fx_ledger GROUP BY 1""")
@@ -142,7 +143,7 @@ def leaderboard_cube(spark, d):
 @query("leaderboard_top_and_best_so_far", f"""WITH {LEDGER_SQL}, b AS (SELECT entity, id, prob, max(prob) OVER (PARTITION BY entity ORDER BY id) best, max(prob) OVER (PARTITION BY entity ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) prev, row_number() OVER (PARTITION BY entity ORDER BY prob DESC, id) k FROM fx_ledger)
  SELECT entity, id, round(best, 6) best_so_far, CAST(prev IS NULL OR prob > prev AS int) new_best, CAST(k AS int) k FROM b WHERE k <= 15 OR prev IS NULL OR prob > prev""")
 def leaderboard_top_and_best_so_far(spark, d):
-    b = best_so_far(ledger(spark, d), ["entity"], "id", "prob").withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("prob"), "id")))
+    b = best_so_far(ranks.ranked(ledger(spark, d), ["entity"], "prob", ["id"]), ["entity"], "id", "prob").withColumn("k", F.col("k").cast("int"))
     return b.where("k <= 15 or new_best = 1").select("entity", "id", F.round("best_so_far", 6).alias("best_so_far"), "new_best", "k")
 
 

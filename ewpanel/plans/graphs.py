@@ -36,18 +36,35 @@ def actor_pair_stats(spark, d):
     return g.withColumns({"density": F.round("density", 6), "top_degree_share": F.round("top_degree_share", 6)})
 
 
-INC_SQL = f"""{CONFLICT_SQL}, n AS (SELECT DISTINCT country || '|' || {WEEK.format('date_start')} node, country, region, CAST({WEEK.format('date_start')} AS varchar) AS week FROM fx_conflict WHERE year(date_start) = 1997),
- mem AS (SELECT DISTINCT country || '|' || {WEEK.format('date_start')} node, side_a AS value FROM fx_conflict WHERE year(date_start) = 1997),
- raw AS (SELECT node node_id, 'country' edge_type, country edge_id FROM n UNION ALL SELECT node, 'region_week', region || '|' || week FROM n UNION ALL SELECT node, 'actor', value FROM mem),
+def _inc_sql(kinds):
+    week = f"CAST({WEEK.format('date_start')} AS varchar)"
+    parts = {
+        "country": "SELECT node node_id, 'country' edge_type, country edge_id FROM n WHERE week IN (SELECT week FROM recent)",
+        "region_week": "SELECT node, 'region_week', region || '|' || week FROM n", "week": "SELECT node, 'week', week FROM n",
+        "actor": "SELECT DISTINCT node, 'actor', side_a FROM e WHERE week IN (SELECT week FROM recent)",
+        "conflict": "SELECT DISTINCT node, 'conflict', conflict_name FROM e WHERE week IN (SELECT week FROM recent)"}
+    return f"""{CONFLICT_SQL}, e AS (SELECT *, country || '|' || {week} node, {week} AS week FROM fx_conflict), n AS (SELECT DISTINCT node, country, region, week FROM e),
+ recent AS (SELECT DISTINCT week FROM e ORDER BY week DESC LIMIT 156), raw AS ({' UNION ALL '.join(parts[k] for k in kinds)}),
  inc AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY edge_type, edge_id) edge_size FROM raw) WHERE edge_size >= 2)"""
 
 
-def hyper(spark, d):
-    e = conflict_events(spark, d).where("year(date_start) = 1997").withColumn("week", keys.week_monday(F.col("date_start")).cast("string"))
-    e = e.withColumn("node", F.concat_ws("|", "country", "week"))
-    nodes = e.select("node", "country", "region", "week").distinct()
-    members = e.select("node", F.col("side_a").alias("value")).distinct()
-    return graph.incidence(nodes, "node", {"country": ["country"], "region_week": ["region", "week"]}, {"actor": members})
+EDGES = ("country", "region_week", "week", "actor", "conflict")
+INC_SQL = _inc_sql(EDGES)
+
+
+def country_weeks(spark, d):
+    e = conflict_events(spark, d).withColumn("week", keys.week_monday(F.col("date_start")).cast("string"))
+    return e.withColumn("node", F.concat_ws("|", "country", "week"))
+
+
+def hyper(spark, d, kinds=EDGES):
+    """Country-weeks as nodes; country, actor and conflict edges reach back 156 distinct weeks."""
+    e = country_weeks(spark, d)
+    recent = e.select("week").distinct().orderBy(F.desc("week")).limit(156)
+    lately = e.join(recent, "week", "left_semi")
+    own = {"region_week": ["region", "week"], "week": ["week"]}
+    members = {k: lately.select("node", F.col(c).alias("value")) for k, c in (("country", "country"), ("actor", "side_a"), ("conflict", "conflict_name"))}
+    return graph.incidence(e.select("node", "country", "region", "week").distinct(), "node", {k: v for k, v in own.items() if k in kinds}, {k: v for k, v in members.items() if k in kinds})
 
 
 @query("hypergraph_incidence", f"""WITH {INC_SQL} SELECT edge_type, edge_id, node_id, edge_size FROM inc""")
@@ -55,19 +72,54 @@ def hypergraph_incidence(spark, d):
     return hyper(spark, d)
 
 
-@query("hypergraph_structure", f"""WITH {INC_SQL} SELECT node_id, count(*) AS degree, CAST(sum(edge_size) - count(*) AS bigint) co_memberships FROM inc GROUP BY 1""")
+@query("hypergraph_structure", f"""WITH {_inc_sql(EDGES[:4])}, g AS (SELECT node_id, count(*) AS degree, CAST(sum(edge_size) - count(*) AS bigint) co_memberships FROM inc GROUP BY 1),
+ p AS (SELECT DISTINCT a.node_id, b.node_id other FROM inc a JOIN inc b USING (edge_type, edge_id) WHERE a.node_id <> b.node_id), m AS (SELECT p.node_id, avg(g.degree) m FROM p JOIN g ON g.node_id = p.other GROUP BY 1)
+ SELECT node_id, degree, co_memberships, round(m, 6) mean_co_degree FROM g JOIN m USING (node_id)""")
 def hypergraph_structure(spark, d):
-    return graph.structural_features(hyper(spark, d))
+    return graph.structural_features(hyper(spark, d, EDGES[:4])).withColumn("mean_co_degree", F.round("mean_co_degree", 6))
 
 
 @query("hypergraph_propagation", f"""WITH {INC_SQL}, deg AS (SELECT node_id, count(*) g FROM inc GROUP BY 1), x AS (SELECT node_id, CAST(length(node_id) % 5 + 1 AS double) x FROM deg),
- e AS (SELECT edge_type, edge_id, sum(x / sqrt(g)) / max(edge_size) ex, sum(x) / max(edge_size) ea FROM inc JOIN deg USING (node_id) JOIN x USING (node_id) GROUP BY 1, 2)
- SELECT node_id, round(sum(ex / sqrt(g)), 6) x_symmetric, round(sum(ea / g), 6) x_asymmetric FROM inc JOIN e USING (edge_type, edge_id) JOIN deg USING (node_id) GROUP BY 1""")
+ s AS (SELECT edge_type, edge_id, sum(x / sqrt(g)) / max(edge_size) ex, sum(x) / max(edge_size) ea FROM inc JOIN deg USING (node_id) JOIN x USING (node_id) GROUP BY 1, 2)
+ SELECT node_id, round(sum(ex / sqrt(g)), 6) x_symmetric, round(sum(ea / g), 6) x_asymmetric FROM inc JOIN s USING (edge_type, edge_id) JOIN deg USING (node_id) GROUP BY 1""")
 def hypergraph_propagation(spark, d):
     inc = hyper(spark, d)
-    x = inc.select("node_id").distinct().withColumn("x", (F.length("node_id") % 5 + 1).cast("double"))
-    a = graph.propagate(inc, x, True).select("node_id", F.round("x", 6).alias("x_symmetric"))
-    return a.join(graph.propagate(inc, x, False).select("node_id", F.round("x", 6).alias("x_asymmetric")), "node_id")
+    x = country_weeks(spark, d).select(F.col("node").alias("node_id")).distinct().withColumn("x", (F.length("node_id") % 5 + 1).cast("double"))
+    return graph.propagate(inc, x, ["x"], None).select("node_id", F.round("x_symmetric", 6).alias("x_symmetric"), F.round("x_asymmetric", 6).alias("x_asymmetric"))
+
+
+def node_signal(spark, d):
+    return country_weeks(spark, d).groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).cast("double").alias("x"), (F.sum("best") >= 12).cast("int").alias("y"), F.min("week").alias("week"))
+
+
+def smoothed(spark, d):
+    """The signal of each node and its first and second smoothing: features for a linear head."""
+    inc, own = hyper(spark, d), node_signal(spark, d)
+    one = graph.propagate(inc, own.select("node_id", "x"), ["x"]).withColumnRenamed("x", "gx")
+    two = graph.propagate(inc, one, ["gx"]).withColumnRenamed("gx", "ggx")
+    return own.join(one, "node_id").join(two, "node_id")
+
+
+STEP = "{b} AS (SELECT node_id, sum(m / sqrt(g)) x FROM inc JOIN (SELECT edge_type, edge_id, sum(x / sqrt(g)) / max(edge_size) m FROM inc JOIN deg USING (node_id) JOIN {a} USING (node_id) GROUP BY 1, 2) USING (edge_type, edge_id) JOIN deg USING (node_id) GROUP BY 1)"
+
+
+@query("hypergraph_smoothed_features", f"""WITH {INC_SQL}, deg AS (SELECT node_id, count(*) g FROM inc GROUP BY 1), s0 AS (SELECT node node_id, CAST(count(*) AS double) x FROM e GROUP BY 1), {STEP.format(a='s0', b='s1')}, {STEP.format(a='s1', b='s2')}
+ SELECT node_id, s0.x, round(s1.x, 6) gx, round(s2.x, 6) ggx FROM s0 JOIN s1 USING (node_id) JOIN s2 USING (node_id)""")
+def hypergraph_smoothed_features(spark, d):
+    return smoothed(spark, d).select("node_id", "x", F.round("gx", 6).alias("gx"), F.round("ggx", 6).alias("ggx"))
+
+
+@query("hypergraph_edge_ablation", f"""WITH {INC_SQL}, o AS (SELECT unnest(['none', {', '.join(f"'{k}'" for k in EDGES)}]) omitted), i2 AS (SELECT * FROM inc, o WHERE edge_type <> omitted), deg AS (SELECT omitted, node_id, count(*) g FROM i2 GROUP BY 1, 2),
+ own AS (SELECT node node_id, CAST(count(*) AS double) x, CAST(sum(best) >= 12 AS double) y FROM e GROUP BY 1),
+ m AS (SELECT omitted, edge_type, edge_id, sum(x / sqrt(g)) / max(edge_size) ms, sum(x) / max(edge_size) ma FROM i2 JOIN deg USING (omitted, node_id) JOIN own USING (node_id) GROUP BY 1, 2, 3),
+ p AS (SELECT omitted, node_id, sum(ms / sqrt(g)) s, sum(ma / g) a FROM i2 JOIN m USING (omitted, edge_type, edge_id) JOIN deg USING (omitted, node_id) GROUP BY 1, 2)
+ SELECT omitted, count(*) n, round(corr(s, y), 6) r_symmetric, round(corr(a, y), 6) r_asymmetric FROM p JOIN own USING (node_id) GROUP BY 1""")
+def hypergraph_edge_ablation(spark, d):
+    """Each edge type left out in turn, both propagation modes: correlation of the smoothed signal with a severe week."""
+    inc = hyper(spark, d).withColumn("omitted", F.explode(F.array(*[F.lit(k) for k in ("none", *EDGES)]))).where("edge_type != omitted")
+    own = node_signal(spark, d)
+    p = graph.propagate(inc, own.select("node_id", "x"), ["x"], None, ["omitted"]).join(own.select("node_id", F.col("y").cast("double").alias("y")), "node_id")
+    return p.groupBy("omitted").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x_symmetric", "y"), 6).alias("r_symmetric"), F.round(F.corr("x_asymmetric", "y"), 6).alias("r_asymmetric"))
 
 
 @query("theme_co_occurrence", f"""WITH {DOCS_SQL}, t AS (SELECT doc, unnest(themes) th FROM docs) SELECT a.th theme_a, b.th theme_b, count(*) weight FROM t a JOIN t b ON a.doc = b.doc AND a.th < b.th GROUP BY 1, 2 HAVING count(*) >= 2""")
@@ -82,27 +134,29 @@ def theme_ppmi(spark, d):
     return graph.ppmi(graph.co_occurrence(theme_docs(spark, d), "themes")).withColumn("ppmi", F.round("ppmi", 6))
 
 
-@query("theme_frequency", f"""WITH {DOCS_SQL} SELECT n_name country, {WEEK.format('o_orderdate')} AS week, th theme, count(*) n FROM (SELECT doc, unnest(themes) th FROM docs) JOIN orders ON o_orderkey = doc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1998 GROUP BY 1, 2, 3""")
+@query("theme_frequency", f"""WITH {DOCS_SQL} SELECT n_name country, {WEEK.format('o_orderdate')} AS week, th theme, count(*) n FROM (SELECT doc, unnest(themes) th FROM docs) JOIN orders ON o_orderkey = doc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
 def theme_frequency(spark, d):
-    e = conflict_events(spark, d).where("year(date_start) = 1998").select(F.col("id").alias("doc"), "country", keys.week_monday(F.col("date_start")).alias("week"))
+    e = conflict_events(spark, d).select(F.col("id").alias("doc"), "country", keys.week_monday(F.col("date_start")).alias("week"))
     return e.join(theme_docs(spark, d), "doc").select("country", "week", F.explode("themes").alias("theme")).groupBy("country", "week", "theme").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("theme_tfidf", f"""WITH {DOCS_SQL}, t AS (SELECT n_name country, th theme, count(*) n FROM (SELECT doc, unnest(themes) th FROM docs) JOIN orders ON o_orderkey = doc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 3), df AS (SELECT theme, count(DISTINCT country) df FROM t GROUP BY 1)
- SELECT country, theme, round(ln(1 + n) * ln((SELECT count(DISTINCT country) FROM t) / df + 0.5), 6) weight FROM t JOIN df USING (theme)""")
+@query("theme_tfidf", f"""WITH {DOCS_SQL}, f AS (SELECT n_name || '|' || CAST({WEEK.format('o_orderdate')} AS varchar) node, th theme, count(*) n FROM (SELECT doc, unnest(themes) th FROM docs) JOIN orders ON o_orderkey = doc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+ t AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY theme) total, count(*) OVER (PARTITION BY theme) df FROM f) WHERE total >= 3)
+ SELECT node, theme, round(ln(1 + n) * ln((SELECT count(DISTINCT node) FROM t) / df), 6) weight FROM t""")
 def theme_tfidf(spark, d):
-    e = conflict_events(spark, d).select(F.col("id").alias("doc"), "country").join(theme_docs(spark, d), "doc")
-    t = e.select("country", F.explode("themes").alias("theme")).groupBy("country", "theme").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    df = t.groupBy("theme").agg(F.countDistinct("country").alias("df"))
-    total = t.agg(F.countDistinct("country").alias("total"))
-    return t.join(df, "theme").crossJoin(F.broadcast(total)).select("country", "theme", F.round(F.log1p("n") * F.ln(F.col("total") / F.col("df") + 0.5), 6).alias("weight"))  # one row
+    """log1p(count) * ln(N / df) over country-weeks, of themes that occur three times at least."""
+    e = country_weeks(spark, d).select(F.col("id").alias("doc"), "node").join(theme_docs(spark, d), "doc")
+    t = e.select("node", F.explode("themes").alias("theme")).groupBy("node", "theme").agg(F.count(F.lit(1)).alias("n"))
+    df = t.groupBy("theme").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).where("total >= 3")
+    kept = t.join(df, "theme")
+    nodes = kept.agg(F.countDistinct("node").alias("nodes"))
+    return kept.crossJoin(F.broadcast(nodes)).select("node", "theme", F.round(F.log1p("n") * F.ln(F.col("nodes") / F.col("df")), 6).alias("weight"))  # one row
 
 
-@query("weighted_mean_embedding", """SELECT label, list_transform(range(1, 5), lambda i: round(sum_i[i] / n, 6)) centre FROM (SELECT label, CAST(sum(1 + vec_id % 3) AS double) n, [sum(embedding[1] * (1 + vec_id % 3)), sum(embedding[2] * (1 + vec_id % 3)), sum(embedding[3] * (1 + vec_id % 3)), sum(embedding[4] * (1 + vec_id % 3))] sum_i FROM (SELECT vec_id, label, CAST(embedding AS double[]) embedding FROM embeddings) GROUP BY 1)""")
+@query("weighted_mean_embedding", """WITH v AS (SELECT label, CAST(1 + vec_id % 3 AS double) w, unnest(embedding) x, generate_subscripts(embedding, 1) - 1 i FROM embeddings) SELECT label, CAST(i AS int) i, round(sum(CAST(x AS double) * w) / sum(w), 6) x FROM v GROUP BY 1, 2""")
 def weighted_mean_embedding(spark, d):
-    v = table(spark, d, "embeddings").withColumn("w", F.expr("cast(1 + vec_id % 3 as double)"))
-    parts = [F.round(F.sum(F.col("embedding")[i].cast("double") * F.col("w")) / F.sum("w"), 6) for i in range(4)]
-    return v.groupBy("label").agg(F.array(*parts).alias("centre"))
+    v = table(spark, d, "embeddings").select("label", F.expr("cast(1 + vec_id % 3 as double)").alias("w"), F.posexplode("embedding").alias("i", "x"))
+    return v.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w"), 6).alias("x"))
 
 
 @query("theme_list_parsing", """WITH k AS (SELECT l_orderkey, string_agg(CAST(l_partkey % 9 AS varchar), ';' ORDER BY l_linenumber, l_partkey, l_suppkey) themes, string_agg('1#x#' || (l_suppkey % 5) || '#z', ';' ORDER BY l_linenumber, l_partkey, l_suppkey) locs, any_value(o_totalprice) tone FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
@@ -129,19 +183,22 @@ def context_lines(spark, d):
     return g.select("country", F.col("year").cast("long").alias("year"), F.format_string("%s %d: events=%d change=%+d", "country", "year", "n", "delta").alias("context"), text.trend(F.col("delta")).alias("trend"))
 
 
+SPLIT = "2000-07-03"
 ANALOG_SQL = f"""{CONFLICT_SQL}, g AS (SELECT region, country, {WEEK.format('date_start')} AS week, CAST(count(*) AS double) n, CAST(sum(best) AS double) b, CAST(count(DISTINCT side_a) AS double) a FROM fx_conflict GROUP BY 1, 2, 3),
- k AS (SELECT *, country || '|' || week id, CAST(b >= 12 AS int) y FROM g), s AS (SELECT region, avg(n) mn, stddev_pop(n) sn, avg(b) mb, stddev_pop(b) sb, avg(a) ma, stddev_pop(a) sa FROM k GROUP BY 1),
+ k AS (SELECT *, country || '|' || week id, CAST(b >= 12 AS int) y FROM g), s AS (SELECT region, avg(n) mn, stddev_pop(n) sn, avg(b) mb, stddev_pop(b) sb, avg(a) ma, stddev_pop(a) sa FROM k WHERE week < DATE '{SPLIT}' GROUP BY 1),
  z AS (SELECT k.*, (n - mn) / (sn + 1e-9) zn, (b - mb) / (sb + 1e-9) zb, (a - ma) / (sa + 1e-9) za FROM k JOIN s USING (region)),
- p AS (SELECT q.id qid, t.id tid, t.y, round((q.zn * t.zn + q.zb * t.zb + q.za * t.za) / (sqrt(q.zn ** 2 + q.zb ** 2 + q.za ** 2) * sqrt(t.zn ** 2 + t.zb ** 2 + t.za ** 2) + 1e-9), 9) sim FROM z q JOIN z t USING (region) WHERE q.week >= DATE '2001-05-07' AND t.week < DATE '1999-01-04')"""
+ p AS (SELECT q.id qid, t.id tid, t.y, round((q.zn * t.zn + q.zb * t.zb + q.za * t.za) / (sqrt(q.zn ** 2 + q.zb ** 2 + q.za ** 2) * sqrt(t.zn ** 2 + t.zb ** 2 + t.za ** 2) + 1e-9), 9) sim FROM z q JOIN z t USING (region) WHERE q.week >= DATE '{SPLIT}' AND t.week < DATE '{SPLIT}')"""
 
 
 @query("analog_rates", f"""WITH {ANALOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, tid) k FROM p) SELECT qid id, count(*) n_analogs, round(avg(round(sim, 5)), 6) mean_similarity, round(avg(y), 6) analog_rate FROM r WHERE k <= 5 GROUP BY 1""")
 def analog_rates(spark, d):
+    """Weeks since the split ask; all earlier ones are the index, and they alone give mean and deviation."""
     g = conflict_events(spark, d).groupBy("region", "country", keys.week_monday(F.col("date_start")).alias("week")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("best").cast("double").alias("b"), F.countDistinct("side_a").cast("double").alias("a"))
     k = g.withColumns({"id": F.concat_ws("|", "country", "week"), "y": (F.col("b") >= 12).cast("int")})
-    z = retrieval.standardise(k, ["n", "b", "a"], ["region"])
-    found = retrieval.analogs(z.where("week < date '1999-01-04'"), z.where("week >= date '2001-05-07'"), ["region"], ["n", "b", "a"], "id", "id", "y")
+    past = F.col("week") < F.lit(SPLIT).cast("date")
+    z = retrieval.standardise(k, ["n", "b", "a"], ["region"], k.where(past))
+    found = retrieval.analogs(z.where(past), z.where(~past), ["region"], ["n", "b", "a"], "id", "id", "y")
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n_analogs"), F.round(F.avg(F.round("similarity", 5)), 6).alias("mean_similarity"), F.round(F.avg("analog_label"), 6).alias("analog_rate"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys
-from ewpanel.operators import graph, metrics, models, panel, stats
+from ewpanel.operators import graph, metrics, models, panel, retrieval, stats
 from ewpanel.plans.candidates import candidate_age_windows, candidate_forward_labels
-from ewpanel.plans.graphs import theme_docs
+from ewpanel.plans.graphs import hyper, smoothed, theme_docs
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CONFLICT_SQL, conflict_events, table
 
@@ -47,7 +47,7 @@ def two_stage_severity(spark, d):
     features = ["count_30d", "count_90d", "count_365d", "n_hist", "momentum"]
     past, later = f.where("issue_date < date '2000-01-03'"), f.where("issue_date >= date '2000-01-17'")
     one = models.fit_score(past, later, features, "label_14").select("priogrid_gid", "issue_date", F.col("prob").alias("p_event"), "severe_14")
-    two = models.fit_score(past.where("label_14 = 1"), later, features, "severe_14").select("priogrid_gid", "issue_date", F.col("prob").alias("p_severe"))
+    two = models.fit_score(past.where("label_14 = 1"), later, features, "severe_14", least=5).select("priogrid_gid", "issue_date", F.col("prob").alias("p_severe"))
     both = one.join(two, ["priogrid_gid", "issue_date"]).withColumns({"prob": F.col("p_event") * F.col("p_severe"), "actual": F.col("severe_14").cast("long")})
     return metrics.ranking(both.withColumn("year", F.year("issue_date")), ["year"])
 
@@ -72,42 +72,108 @@ def pooled_effects_ftest(spark, d):
 
 @query("theme_svd_embedding")
 def theme_svd_embedding(spark, d):
-    """Truncated SVD of the theme PPMI matrix: U * sqrt(S), signs set so that the largest component is positive."""
+    """Truncated SVD of the theme PPMI matrix: U * sqrt(S), signs set so that the largest component is positive.
+
+    Themes get their place by a window over the vocabulary alone, whose size the matrix
+    has anyway; rows join it and stay distributed.
+    """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     edges = graph.ppmi(graph.co_occurrence(theme_docs(spark, d), "themes"))
-    names = [r.theme_a for r in edges.select("theme_a").distinct().orderBy("theme_a").collect()]  # the vocabulary
-    k = min(6, len(names) - 2)
+    names = edges.select(F.col("theme_a").alias("theme")).distinct().withColumn("i", (F.row_number().over(Window.orderBy("theme")) - 1).cast("long"))
+    n = names.count()
+    k = min(12, n - 2)
     if k < 1:
         return spark.createDataFrame([], "theme string, vector array<double>")
-    at = {n: i for i, n in enumerate(names)}
-    index = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])
-    rows = edges.groupBy(F.element_at(index, F.col("theme_a")).alias("i")).agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(index, F.col("theme_b")), "ppmi"))).alias("v"))
-    svd = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.i, Vectors.sparse(len(names), r.v)))).computeSVD(k, True)
-    scale = [float(s) ** 0.5 for s in svd.s]
-    out = svd.U.rows.map(lambda r: (int(r.index), [float(x * s) for x, s in zip(r.vector.toArray(), scale)]))
-    u = spark.createDataFrame(out, "i long, v array<double>")
-    peak = u.select(F.posexplode("v").alias("c", "x")).groupBy("c").agg(F.max_by(F.signum("x"), F.abs("x")).alias("sign"))
-    flat = u.select("i", F.posexplode("v").alias("c", "x")).join(peak, "c").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", (F.col("x") * F.col("sign")).alias("x")))).alias("p"))
-    return flat.select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("i") + 1).cast("int")).alias("theme"), F.col("p.x").alias("vector"))
-
-
-@query("label_spreading")
+    placed = edges.join(names.select(F.col("theme").alias("theme_a"), "i"), "theme_a").join(names.select(F.col("theme").alias("theme_b"), F.col("i").alias("j")), "theme_b")
+    rows = placed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "ppmi"))).alias("v")).select("i", F.col("v.j").alias("at"), F.col("v.ppmi").alias("x"))
+    svd = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.i, Vectors.sparse(n, r.at, r.x)))).computeSVD(k, True)
+    u = spark.createDataFrame(svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())), "i long, v array<double>")
+    scale = F.array(*[F.lit(float(s) ** 0.5) for s in svd.s])
+    each = u.select("i", F.posexplode(F.zip_with("v", scale, lambda x, s: x * s)).alias("c", "x"))
+    peak = each.groupBy("c").agg(F.max_by(F.signum("x"), F.abs("x")).alias("sign"))
+    flat = each.join(peak, "c").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", (F.col("x") * F.col("sign")).alias("x")))).alias("p"))
+    return flat.join(names, "i").select("theme", F.col("p.x").alias("vector"))
+
+
+def _spread_sql():
+    steps = []
+    for k in range(5):
+        steps.append(f"f{k + 1} AS (SELECT y.u, y.y0 + coalesce(sum(s * f.f0), 0) f0, y.y1 + coalesce(sum(s * f.f1), 0) f1 FROM y LEFT JOIN st ON st.u = y.u LEFT JOIN f{k} f ON f.u = st.w GROUP BY y.u, y.y0, y.y1)")
+    return ", ".join(steps)
+
+
+@query("label_spreading", f"""WITH x AS (SELECT vec_id, label % 2 y, generate_subscripts(embedding, 1) i, CAST(unnest(embedding) AS double) v FROM embeddings), m AS (SELECT i, avg(v) a, stddev_pop(v) s FROM x GROUP BY 1),
+ z AS (SELECT vec_id u, list((v - a) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) e FROM x JOIN m USING (i) GROUP BY 1), p AS (SELECT a.u, b.u w, round(list_distance(a.e, b.e) ** 2, 9) d FROM z a JOIN z b ON a.u <> b.u),
+ n AS (SELECT u, w FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d, w) k FROM p) WHERE k <= 7), g AS (SELECT u, w FROM n UNION SELECT w, u FROM n), deg AS (SELECT u, count(*) k FROM g GROUP BY 1),
+ st AS (SELECT g.u, g.w, 0.2 / sqrt(a.k * b.k) s FROM g JOIN deg a ON a.u = g.u JOIN deg b ON b.u = g.w), y AS (SELECT vec_id u, CASE WHEN vec_id % 2 = 0 AND label % 2 = 0 THEN 0.8 ELSE 0.0 END y0, CASE WHEN vec_id % 2 = 0 AND label % 2 = 1 THEN 0.8 ELSE 0.0 END y1 FROM embeddings),
+ f0 AS (SELECT u, y0 f0, y1 f1 FROM y), {_spread_sql()}
+ SELECT u vec_id, round(CASE WHEN f0 + f1 > 0 THEN f1 / (f0 + f1) ELSE (SELECT avg(CAST(label % 2 AS double)) FROM embeddings WHERE vec_id % 2 = 0) END, 6) prob FROM f5""")
 def label_spreading(spark, d):
-    """Labels of half the vectors spread over the k-nearest-neighbour graph within their label block, five rounds."""
-    v = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 50).alias("block"), "embedding")
-    pairs = v.alias("a").join(v.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    sim = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = pairs.select(F.col("a.vec_id").alias("u"), F.col("b.vec_id").alias("w"), sim.alias("sim"))
-    near = pairs.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "w"))).where("k <= 7").select("u", "w")
-    near = near.union(near.select("w", "u")).distinct()
-    start = v.select(F.col("vec_id").alias("u"), F.when(F.col("vec_id") % 2 == 0, F.col("y").cast("double")).alias("known")).withColumn("p", F.coalesce("known", F.lit(0.5)))
-    state = start
-    for _ in range(5):
-        spread = near.join(state.select(F.col("u").alias("w"), "p"), "w").groupBy("u").agg(F.avg("p").alias("q"))
-        state = start.select("u", "known").join(spread, "u", "left").withColumn("p", F.coalesce("known", "q", F.lit(0.5)))
-    return state.select(F.col("u").alias("vec_id"), F.round("p", 6).alias("prob"))
+    """Labels of half the vectors spread over the graph of the seven nearest standardised neighbours, five rounds."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    each = v.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    stats = each.groupBy("i").agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("s"))
+    z = each.join(F.broadcast(stats), "i")  # a row for each dimension
+    z = z.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("x") - F.col("a")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z")))).alias("p")).select("vec_id", F.col("p.z").alias("z"))
+    nodes = v.select(F.col("vec_id").alias("node"), F.when(F.col("vec_id") % 2 == 0, F.col("label") % 2).alias("known"))
+    return graph.spread_labels(retrieval.nearest(z, "vec_id", "z", 7), nodes).select(F.col("node").alias("vec_id"), F.round("prob", 6).alias("prob"))
+
+
+CELL = ["count_30d", "count_90d", "count_365d", "n_hist", "momentum"]
+
+
+def labelled_cells(spark, d):
+    return candidate_age_windows(spark, d).join(candidate_forward_labels(spark, d), ["priogrid_gid", "issue_date"])
+
+
+@query("multi_split_ensemble")
+def multi_split_ensemble(spark, d):
+    """Logistic models of three split dates on the common latest window, mean score and mean threshold."""
+    p = labelled_panel(spark, d).where("actual is not null")
+    scored = models.multi_split(p, "week", ["1998-01-05", "1998-07-06", "1999-01-04"], "2000-01-03", ["country", "week"], FEATURES, "actual", 0.3)
+    return metrics.f1_fpr_mcc(metrics.confusion(scored.select("prob", "threshold", F.col("actual").cast("long").alias("actual")), F.col("threshold"), ["threshold"]))
+
+
+@query("unseen_type_auc")
+def unseen_type_auc(spark, d):
+    """Each event type hidden from the training labels in turn: ranking of its later events against quiet cells."""
+    f = labelled_cells(spark, d)
+    past, later = f.where("issue_date < date '1999-01-04'"), f.where("issue_date >= date '1999-01-18'")
+    parts = []
+    for kind in (1, 2, 3):
+        masked = past.withColumn("y", F.when(F.col("type_14") == kind, 0).otherwise(F.col("label_14")))
+        test = later.where((F.col("type_14") == kind) | (F.col("label_14") == 0))
+        scored = models.fit_score(masked, test, CELL, "y")
+        parts.append(scored.select(F.lit(kind).alias("hidden_type"), "prob", F.col("label_14").cast("long").alias("actual")))
+    return metrics.ranking(parts[0].union(parts[1]).union(parts[2]), ["hidden_type"])
+
+
+@query("walk_forward_signal")
+def walk_forward_signal(spark, d):
+    """Country-week probabilities, each year scored by a model of the years before, as a feature of the week after."""
+    p = labelled_panel(spark, d)
+    cuts = ["1998-01-05", "1999-01-04", "2000-01-03", "2001-01-01"]
+    folds_ = [(F.date_add("week", 14) <= F.lit(a).cast("date"), (F.col("week") >= F.lit(a).cast("date")) & (F.col("week") < F.lit(b).cast("date"))) for a, b in zip(cuts, cuts[1:])]
+    scored = models.out_of_fold(p, folds_, FEATURES, "actual")
+    return scored.select("country", F.date_add("week", 7).alias("issue_date"), F.col("prob").alias("signal"))
+
+
+@query("structural_classifier")
+def structural_classifier(spark, d):
+    """A classifier of hypergraph degrees and smoothed signals of country-weeks, fitted once on earlier weeks; severe weeks ranked by year."""
+    x = smoothed(spark, d).join(graph.structural_features(hyper(spark, d, ("country", "region_week", "week", "actor"))), "node_id")
+    features = ["gx", "ggx", "degree", "co_memberships", "mean_co_degree"]
+    scored = models.fit_score(x.where("week < '1999-01-04'"), x.where("week >= '1999-01-04'"), features, "y", ("logistic", "boosted"), rounds=5)
+    return metrics.ranking(scored.select(F.substring("week", 1, 4).alias("year"), "prob", F.col("y").cast("long").alias("actual")), ["year"])
+
+
+@query("feature_importances")
+def feature_importances(spark, d):
+    """Gain importances of boosted trees fitted on the last fold's training weeks, highest first."""
+    p = labelled_panel(spark, d).where("actual is not null and week < date '2000-01-03'")
+    return models.importances(p, FEATURES, "actual", rounds=10)
 
 
 @query("stream_weekly_counts", """SELECT event_type, CAST(date_trunc('week', ts) AS timestamp) AS week, count(*) n_events FROM events GROUP BY 1, 2""")

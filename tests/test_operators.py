@@ -99,9 +99,9 @@ def test_ranking_metrics(spark, rows, ap, auc):
 def test_threshold_rules(spark):
     df = spark.createDataFrame([(i, (100 - i) / 100, int(i % 3 == 0 or i < 6)) for i in range(30)], "id long, prob double, actual int")
     a = {r.target: r.threshold for r in metrics.lowest_reaching(df, [0.5, 0.999], []).collect()}
-    assert a == {0.5: 0.75, 0.999: 0.93} or a[0.999] is not None and a[0.5] < a[0.999]
+    assert a == {0.5: 0.73, 0.999: 0.94}  # 14 of 28 and 7 of 7
     b = metrics.lowest_or_closest(df.where("actual = 0"), 0.8, []).first()
-    assert (b.reached, b.threshold) == (0, 0.98) or b.reached == 0
+    assert (b.reached, b.threshold) == (0, 0.93)
     c, strict = (metrics.scan_until_below(df, 0.6, [], "id", strict=s).first().threshold for s in (False, True))
     assert strict == pytest.approx(c + 0.01)
 
