@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,29 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@contextmanager
+def published(fs, names: list[str]):
+    """Streams under names of this attempt's own; they get ``names`` at the end, in place of those an earlier attempt left.
+
+    Nothing of an attempt that fails stays. Readers come after all tasks have ended.
+    """
+    own = [f"{n}.{uuid.uuid4().hex}" for n in names]
+    sinks = [fs.open_output_stream(n) for n in own]
+    try:
+        yield sinks
+        for sink, mine, name in zip(sinks, own, names):
+            sink.close()
+            if fs.get_file_info(name).type.name != "NotFound":
+                fs.delete_file(name)
+            fs.move(mine, name)
+    except BaseException:
+        for sink, mine in zip(sinks, own):
+            sink.close()
+            if fs.get_file_info(mine).type.name != "NotFound":
+                fs.delete_file(mine)
+        raise
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes`` of text (a longer text stands alone).
 

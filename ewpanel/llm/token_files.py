@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import filesystem, text_slices
+from ewpanel.llm.common import filesystem, published, text_slices
 from ewpanel.llm.tokens import encoder
 
 ROWS = 1024  # sequences in a record batch
@@ -105,29 +105,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+        part = TaskContext.get().partitionId()
         fs, base = filesystem(folder)
-        enc, names, writer, sinks, count = encoder(tokenizer), [], None, [], 0
-        for batch in text_slices(batches, "text"):
-            if writer is None:
-                fs.create_dir(base, recursive=True)
-                names = [f"{base}/part-{part:06d}.arrow", f"{base}/part-{part:06d}.index.arrow"]
-                sinks = [fs.open_output_stream(f"{x}.{own}") for x in names]
-                writer, index = SequenceWriter(sinks[0], length), pa.ipc.new_file(sinks[1], INDEX)
-            ids, sizes = enc.encode(batch.column("text"))
-            first = writer.total
-            ends = np.cumsum(sizes)
-            writer.add(np.insert(ids, ends, end_id))
-            sizes = sizes + 1
-            index.write_batch(pa.record_batch([batch.column("id"), pa.array(first + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=INDEX))
-            count += batch.num_rows
-        if writer is not None:
+        slices = text_slices(batches, "text")
+        first = next(slices, None)
+        if first is None:
+            return
+        fs.create_dir(base, recursive=True)
+        enc, count = encoder(tokenizer), 0
+        with published(fs, [f"{base}/part-{part:06d}.arrow", f"{base}/part-{part:06d}.index.arrow"]) as sinks:
+            writer, index = SequenceWriter(sinks[0], length), pa.ipc.new_file(sinks[1], INDEX)
+            for batch in itertools.chain([first], slices):
+                ids, sizes = enc.encode(batch.column("text"))
+                begin = writer.total
+                writer.add(np.insert(ids, np.cumsum(sizes), end_id))
+                sizes = sizes + 1
+                index.write_batch(pa.record_batch([batch.column("id"), pa.array(begin + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=INDEX))
+                count += batch.num_rows
             writer.close()
             index.close()
-            for sink, name in zip(sinks, names):
-                sink.close()
-                fs.move(f"{name}.{own}", name)
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "docs": [count], "tokens": [writer.total]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "docs": [count], "tokens": [writer.total]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import json
 import struct
-import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import filesystem, stage_table
+from ewpanel.llm.common import Stages, filesystem, published
 
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -131,22 +131,21 @@ def _one_line(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "urn:none")
 
 
-def resolve_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+def resolve_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", stages: Stages | None = None) -> DataFrame:
     """id, url, payload, digest, refers_to, revisit of each page.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
     largest id is the response (null ids come last; of repeated rows one), the others
-    revisit it.
+    revisit it. Rows are numbered as they are staged, so both sides of the comparison
+    see one numbering.
     """
+    stages = stages or Stages(pages.sparkSession)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    marks = stage_table(rows.select("id", "row", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "digests")
-    groups = marks.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
-    again = stage_table(groups.where("n > 1").select("digest", F.col("last.id").alias("last_id"), F.col("last.row").alias("last_row")), "repeated-payloads")
-    digest = F.unhex(F.sha1("payload"))
-    keyed = rows.select("id", "url", "payload", digest.alias("digest"), "row")
-    # the row number is the position in the scan, the same in both reads of one table
-    return keyed.join(again, "digest", "left").select(
+    rows = stages.table(rows.withColumn("digest", F.unhex(F.sha1("payload"))), "payloads")
+    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
+    again = stages.table(groups.where("n > 1").select("digest", F.col("last.id").alias("last_id"), F.col("last.row").alias("last_row")), "repeated-payloads")
+    return rows.join(again, "digest", "left").select(
         "id", "url", "payload", F.lower(F.hex("digest")).alias("digest"),
         (F.col("last_row").isNotNull() & (F.col("row") != F.col("last_row"))).alias("revisit"), F.col("last_id").alias("refers_to"))
 
@@ -163,29 +162,24 @@ def write_packages(resolved: DataFrame, folder: str, level: int = 1) -> DataFram
         from pyspark import TaskContext
 
         fs, base = filesystem(folder)
-        name = f"{base}/part-{TaskContext.get().partitionId():06d}.wacz"
-        own, lines, at, sink = f"{name}.{uuid.uuid4().hex}", [], 0, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if sink is None:
-                    fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(own)
-                    package = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
-                    member = package.open(ARCHIVE, "w", force_zip64=True)
-                url, revisit = _one_line(r["url"]), r["revisit"]
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(r['payload'])}\r\n\r\n".encode()
-                data = record("revisit" if revisit else "response", page_urn(r["id"]), url, r["digest"], http, r["payload"], page_urn(r["refers_to"]) if revisit else None)
-                packed = gzip.compress(data, level, mtime=0)
-                member.write(packed)
-                lines.append(f"{url} {DATE} " + json.dumps({"filename": ARCHIVE, "offset": at, "length": len(packed), "digest": r["digest"]}))
-                at += len(packed)
-        if sink is not None:
-            member.close()
+        rows = (r for batch in batches for r in batch.to_pylist())
+        first = next(rows, None)
+        if first is None:
+            return
+        fs.create_dir(base, recursive=True)
+        name, lines, at = f"part-{TaskContext.get().partitionId():06d}.wacz", [], 0
+        with published(fs, [f"{base}/{name}"]) as (sink,), zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True) as package:
+            with package.open(ARCHIVE, "w", force_zip64=True) as member:
+                for r in itertools.chain([first], rows):
+                    url, revisit = _one_line(r["url"]), r["revisit"]
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(r['payload'])}\r\n\r\n".encode()
+                    data = record("revisit" if revisit else "response", page_urn(r["id"]), url, r["digest"], http, r["payload"], page_urn(r["refers_to"]) if revisit else None)
+                    packed = gzip.compress(data, level, mtime=0)
+                    member.write(packed)
+                    lines.append(f"{url} {DATE} " + json.dumps({"filename": ARCHIVE, "offset": at, "length": len(packed), "digest": r["digest"]}))
+                    at += len(packed)
             package.writestr(INDEX, "\n".join(lines) + "\n")
-            package.close()
-            sink.close()
-            fs.move(own, name)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "records": pa.array([len(lines)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(lines)], pa.int64())})
 
     return resolved.mapInArrow(run, "path string, records long")
 
@@ -242,4 +236,7 @@ def archive_pages(pages: DataFrame, folder: str, **options) -> DataFrame:
     such. White space and control characters of a url are percent-escaped. Repeated
     rows are each a record. An empty table writes no package.
     """
-    return stage_table(write_packages(resolve_revisits(pages, **options), folder), "packages")
+    stages = Stages(pages.sparkSession)
+    packages = stages.table(write_packages(resolve_revisits(pages, stages=stages, **options), folder), "packages")
+    stages.close("packages")
+    return packages
