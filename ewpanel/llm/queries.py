@@ -101,8 +101,8 @@ ORACLE_SQL = {
              p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
              l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
              e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-             r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.at)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(at) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
+             r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT doc_id, sha256(t) AS h FROM d)
