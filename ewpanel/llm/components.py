@@ -28,13 +28,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", within: Stages | No
     while True:
         turn += 1
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stages.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = stages.table(large, "large-star")
-        least = stages.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         current = stages.table(small.select("e.u", "e.v").where("u > v").distinct(), f"edges-{turn}")
-        stages.drop("least", "large-star", last)
+        stages.drop("large-star", last)
         last, after = f"edges-{turn}", _state(current)
         if after == before:
             break

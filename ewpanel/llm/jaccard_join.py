@@ -229,45 +229,55 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 
 
 def _possible(p: dict, q: dict, percent: int) -> np.ndarray:
-    """Which sets of p and q (around one centre) may be linked and are not of one component yet: a boolean matrix.
+    """For each set of p and of q (around one centre) the least share of their tokens in which they differ, infinite where no link is possible or needed.
 
-    A link needs similar sizes and a symmetric difference of at most gap / whole of the
-    sizes' sum. Differences are a metric: that of x and y is at least the lower bound of
-    one set's difference from the centre less the other's exact one, and at least the
-    number of parity bits in which the sketches differ.
+    A link is needed between sets of different components, and possible with similar
+    sizes and a symmetric difference of at most gap / whole of the sizes' sum. Differences
+    are a metric: that of x and y is at least the lower bound of one set's difference
+    from the centre less the other's exact one, and at least the number of parity bits
+    in which the sketches differ.
     """
     gap, whole = 100 - percent, 100 + percent
-    limit = gap * (p["n"][:, None] + q["n"][None, :])
-    out = (p["component"][:, None] != q["component"][None, :]) & (whole * np.abs(p["n"][:, None] - q["n"][None, :]) <= limit)
-    out &= whole * (p["low"][:, None] - q["high"][None, :]) <= limit
-    out &= whole * (q["low"][None, :] - p["high"][:, None]) <= limit
+    sizes = p["n"][:, None] + q["n"][None, :]
+    out = (p["component"][:, None] != q["component"][None, :]) & (whole * np.abs(p["n"][:, None] - q["n"][None, :]) <= gap * sizes)
+    out &= whole * (p["low"][:, None] - q["high"][None, :]) <= gap * sizes
+    out &= whole * (q["low"][None, :] - p["high"][:, None]) <= gap * sizes
     at = np.nonzero(out)
     apart = np.bitwise_count(p["sketch"][at[0]] ^ q["sketch"][at[1]]).sum(1, dtype=np.int64)
-    out[at] = whole * apart <= limit[at]
-    return out
+    share = np.full(out.shape, np.inf)
+    share[at] = np.where(whole * apart <= gap * sizes[at], apart / sizes[at], np.inf)
+    return share
 
 
-def _around_centres(around: DataFrame, percent: int) -> DataFrame:
+def _around_centres(around: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (c, x) of sets around one centre that may be linked although their components differ.
 
     ``around``: centre, x, n, low, high, component, sketch and blocks. The sets around
     a centre are dealt to blocks of about BLOCK by a hash, and any two blocks, or one
-    block with itself, are compared by one task; only possible pairs come out.
+    block with itself, are compared by one task; only possible pairs come out, or, with
+    ``nearest``, the nearest possible partner of each set.
     """
     own = F.pmod(F.xxhash64("x"), F.col("blocks"))
     dealt = around.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "n", "low", "high", "component", "sketch")
 
-    def of(table: pa.Table) -> dict:
-        columns = {k: table.column(k).to_numpy() for k in ("x", "n", "low", "high", "component", "own")}
-        return columns | {"sketch": _folded(table.column("sketch").to_pylist())}
-
     def compared(table: pa.Table) -> pa.RecordBatch:
-        sets, i, j = of(table), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets = {k: table.column(k).to_numpy() for k in ("x", "n", "low", "high", "component", "own")} | {"sketch": _folded(table.column("sketch").to_pylist())}
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         p, q = ({k: v[sets["own"] == b] for k, v in sets.items()} for b in (i, j))
-        a, b = np.nonzero(_possible(p, q, percent)) if len(p["x"]) and len(q["x"]) else (np.zeros(0, np.int64),) * 2
+        a = b = np.zeros(0, np.int64)
+        if len(p["x"]) and len(q["x"]):
+            share = _possible(p, q, percent)
+            if nearest:
+                down, right = share.argmin(0), share.argmin(1)
+                a, b = np.append(np.arange(len(right)), down), np.append(right, np.arange(len(down)))
+                keep = np.isfinite(share[a, b])
+                a, b = a[keep], b[keep]
+            else:
+                a, b = np.nonzero(np.isfinite(share))
         x, y = p["x"][a], q["x"][b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["c", "x"])
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the pair of blocks that the last batch ended in
@@ -307,31 +317,29 @@ def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) ->
         stages.drop("tokens")
         return found
 
-    def with_components(some: DataFrame, links: DataFrame, *of: str) -> DataFrame:
+    def with_components(some: DataFrame, links: DataFrame, k: str) -> DataFrame:
         node = components(links.where("linked").select("c", "x"), "c", "x", stages)
-        for k in of:
-            name = node.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
-            some = some.join(name, k, "left").withColumn(f"component_{k}", F.coalesce(f"component_{k}", k))
-        return some
+        name = node.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
+        return some.join(name, k, "left").withColumn(f"component_{k}", F.coalesce(f"component_{k}", k))
 
-    # each set with its nearest centre first, then what these links leave open
+    # each set with its nearest centre first
     best = near.groupBy("x").agg(F.min(F.struct((F.col("low") / (F.col("nc") + F.col("nx"))).alias("share"), "c")).alias("best"))
     found = verified(stages.table(best.select(F.col("best.c").alias("c"), "x"), "nearest"), "verified-nearest")
-    open_ = with_components(near.select("c", "x"), found, "c", "x").where("component_c != component_x").join(found, ["c", "x"], "left_anti").select("c", "x")
-    found = found.union(verified(stages.table(open_, "open-pairs"), "verified-open"))
-
-    known = screened.join(found, ["c", "x"], "left").select("c", "x", F.col("nx").alias("n"), F.coalesce("differ", "low").alias("low"), F.coalesce("differ", F.lit(1 << 40)).alias("high"))
-    stages.drop("components")
-    around = stages.table(with_components(known, found, "x"), "around")
-    mixed = around.groupBy("c").agg(F.min("component_x").alias("a"), F.max("component_x").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("a < b")
-    mixed = around.join(mixed.select("c", "blocks"), "c").join(sketches.select(F.col("fp").alias("x"), "sketch"), "x")
-    mixed = mixed.select(F.col("c").alias("centre"), "x", "n", "low", "high", F.col("component_x").alias("component"), "sketch", "blocks")
-    told = screened.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
-    rest = stages.table(_around_centres(mixed, percent).join(told, ["c", "x"], "left_anti"), "rest-pairs")
-    rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
-    found = found.union(verified(rest, "verified-rest"))
-
-    stages.drop("components")
+
+    # then the nearest possible partners around each centre (the centre is one of the sets), and at last all that is still possible
+    for turn, nearest in ((1, True), (2, False)):
+        known = screened.join(found, ["c", "x"], "left").select("c", "x", F.col("nx").alias("n"), F.coalesce("differ", "low").alias("low"), F.coalesce("differ", F.lit(1 << 40)).alias("high"))
+        itself = screened.select("c", F.col("c").alias("x"), F.col("nc").alias("n"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).distinct()
+        around = stages.table(with_components(known.union(itself), found, "x"), f"around-{turn}")
+        mixed = around.groupBy("c").agg(F.min("component_x").alias("a"), F.max("component_x").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("a < b")
+        mixed = around.join(mixed.select("c", "blocks"), "c").join(sketches.select(F.col("fp").alias("x"), "sketch"), "x")
+        mixed = mixed.select(F.col("c").alias("centre"), "x", "n", "low", "high", F.col("component_x").alias("component"), "sketch", "blocks")
+        told = found.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
+        rest = stages.table(_around_centres(mixed, percent, nearest).join(told, ["c", "x"], "left_anti"), "rest-pairs")
+        rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
+        found = found.union(verified(rest, f"verified-rest-{turn}"))
+        stages.drop("components", "rest-pairs", "rest-near", f"around-{turn}")
+
     node = components(found.where("linked").select("c", "x"), "c", "x", stages)
     labelled = stages.table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")
     stages.close("sets", "labelled")
@@ -350,10 +358,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     Other columns are ignored.
 
     Each set is compared with the centres of its buckets of equal sketch segments, by
-    parity sketches first and by tokens if those leave a link possible and links found
-    before don't already connect the two. Sets around one centre that are of different
-    components are compared by sketches, block against block; tokens move only for
-    those that may be linked. All verified links connect exactly what all links connect.
+    parity sketches first, and with the nearest of them by tokens. Sets around one centre
+    that are then of different components are compared by sketches, block against
+    block; tokens move only for the nearest that may be linked, and in a last round for
+    all that may be and still are of different components. All verified links connect
+    exactly what all links connect.
     """
     stages = Stages(docs.sparkSession)
     sets, labelled = jaccard_groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, percent, stages)
