@@ -35,6 +35,11 @@ def grid_id(lat: Column, lon: Column) -> Column:
     return (row * GRID_COLUMNS + column + 1).cast("long")
 
 
+def grid_centre(gid: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of the cell's centre."""
+    return F.floor((gid - 1) / GRID_COLUMNS) / 2 - 89.75, ((gid - 1) % GRID_COLUMNS) / 2 - 179.75
+
+
 def ring(gid: Column, distance: int) -> Column:
     """Cells at Chebyshev distance ``distance``; none beyond the grid's left and right edge."""
     steps = [(r, c) for r in range(-distance, distance + 1) for c in range(-distance, distance + 1) if max(abs(r), abs(c)) == distance]

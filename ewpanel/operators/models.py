@@ -54,12 +54,14 @@ def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str
     train, test = train.fillna(0, features), test.fillna(0, features)
     ready = train.withColumns({"_label": F.col(label).cast("double"), "_weight": balanced_weight(train, label)})
     prepare = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)]).fit(ready)
-    ready, out = prepare.transform(ready), prepare.transform(test)
+    ready, out = prepare.transform(ready).cache(), prepare.transform(test)
+    cached = ready
     for k, kind in enumerate(kinds):
         if kind == "boosted":
             ready = ready.withColumn("_weight", positive_weight(train, label))
         model = estimator(kind, **options, **({"inputs": len(features)} if kind == "perceptron" else {})).fit(ready)
         out = model.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    cached.unpersist()
     mean = sum((F.col(f"_p{k}") for k in range(len(kinds))), F.lit(0.0)) / len(kinds)
     return out.withColumn("prob", mean).drop("_raw", "_features", *[f"_p{k}" for k in range(len(kinds))])
 

@@ -56,14 +56,14 @@ def signal_on_candidates(spark, d):
     return candidates(e).drop("issue_day").join(mode, "priogrid_gid").join(shifted, ["country", "issue_date"], "left").fillna(0, ["same_week", "week_before"])
 
 
-@query("document_stats", f"""WITH k AS (SELECT o_orderkey, n_name country, {WEEK.format('o_orderdate')} AS week, string_agg(p_type, ';') themes, any_value(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS double) / 1000 END) tone
+@query("document_stats", f"""WITH k AS (SELECT o_orderkey, n_name country, {WEEK.format('o_orderdate')} AS week, string_agg(p_type, ';') themes, any_value(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS double) END) tone
    FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3)
  SELECT country, week, count(*) n_docs, round(avg(CASE WHEN contains(themes, 'BRASS') OR contains(themes, 'TIN') OR contains(themes, 'ECONOMY') THEN 1.0 ELSE 0.0 END), 6) fragility_share, round(avg(tone), 4) mean_tone FROM k GROUP BY 1, 2""")
 def document_stats(spark, d):
     """Documents, share with any marker in their theme string and mean parseable tone by (country, week)."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     themes = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list("p_type"), ";").alias("themes"))  # a document's own list
-    tone = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("double") / 1000).cast("string").alias("vector"))
+    tone = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice") / 1000)).cast("string").alias("vector"))
     e = conflict_events(spark, d).select("id", "country", keys.week_monday(F.col("date_start")).alias("week"))
     rows = e.join(themes, F.col("id") == F.col("l_orderkey")).join(tone, F.col("id") == F.col("o_orderkey"))
     hit = text.any_marker(F.col("themes"), ["BRASS", "TIN", "ECONOMY"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys, text
-from ewpanel.operators import joins, panel
+from ewpanel.operators import joins, panel, ranks
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CODED_SQL, CONFLICT_SQL, LEDGER_SQL, coded_events, conflict_events, ledger, table
 
@@ -79,7 +79,7 @@ def global_summary(spark, d):
     return conflict_events(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("country").alias("n_countries"), F.min("date_start").alias("first_day"), F.max("date_start").alias("last_day"), F.sum("best").alias("total_best"))
 
 
-CELLS_SQL = """cells AS (SELECT priogrid_gid, (SELECT NULL) x, count(*) n_events_total FROM fx_conflict WHERE date_prec <= 2 AND where_prec <= 3 GROUP BY 1 HAVING count(*) >= 15)"""
+CELLS_SQL = """cells AS (SELECT priogrid_gid, count(*) n_events_total FROM fx_conflict WHERE date_prec <= 2 AND where_prec <= 3 GROUP BY 1 HAVING count(*) >= 15)"""
 
 
 @query("active_cells", f"""WITH {CONFLICT_SQL}, {CELLS_SQL},
@@ -92,10 +92,14 @@ def active_cells(spark, d):
     return cells.withColumns({"lat": F.expr("round(floor((priogrid_gid - 1) / 720) / 2.0D - 90 + 0.25D, 6)"), "lon": F.expr("round(((priogrid_gid - 1) % 720) / 2.0D - 180 + 0.25D, 6)")})
 
 
-@query("grid_id_round_trip", """SELECT c_custkey, CAST(floor((((c_custkey % 170) - 85) + 0.1 + 90) * 2) * 720 + floor((((c_custkey * 7) % 350) - 175 + 0.3 + 180) * 2) + 1 AS bigint) gid FROM customer""")
+@query("grid_id_round_trip", """WITH c AS (SELECT c_custkey, ((c_custkey % 170) - 85) + 0.1 lat, ((c_custkey * 7) % 350) - 175 + 0.3 lon FROM customer), g AS (SELECT *, CAST(floor((lat + 90) * 2) * 720 + floor((lon + 180) * 2) + 1 AS bigint) gid FROM c)
+ SELECT c_custkey, gid, round(((gid - 1) // 720) / 2.0 - 89.75, 6) lat, round(((gid - 1) % 720) / 2.0 - 179.75, 6) lon, 1 same FROM g""")
 def grid_id_round_trip(spark, d):
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", keys.grid_id(F.expr("((c_custkey % 170) - 85) + 0.1D"), F.expr("((c_custkey * 7) % 350) - 175 + 0.3D")).alias("gid"))
+    """The cell of a point, the cell's centre, and whether the centre lies in the same cell again."""
+    c = table(spark, d, "customer").select("c_custkey", keys.grid_id(F.expr("((c_custkey % 170) - 85) + 0.1D"), F.expr("((c_custkey * 7) % 350) - 175 + 0.3D")).alias("gid"))
+    lat, lon = keys.grid_centre(F.col("gid"))
+    c = c.withColumns({"lat": lat, "lon": lon})
+    return c.select("c_custkey", "gid", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), (keys.grid_id(F.col("lat"), F.col("lon")) == F.col("gid")).cast("int").alias("same"))
 
 
 @query("weekly_resample_sunday", f"""WITH {CONFLICT_SQL}, o AS (SELECT CAST(date_trunc('week', date_start) AS date) + 6 AS week_end, * FROM fx_conflict),
@@ -243,16 +247,15 @@ def historical_rate(spark, d):
  SELECT country, week, round(coalesce(x, m), 6) x_mean, round(coalesce(x, md), 6) x_median, CAST(x IS NOT NULL AS int) covered, round(coalesce(x, 0), 6) x_zero FROM g, s""")
 def imputation(spark, d):
     g = coded_events(spark, d).groupBy("country", keys.week_monday(F.col("day")).alias("week")).agg(F.avg(F.when((F.col("quad_class") == 4) & (F.col("goldstein") < -5), F.col("tone"))).alias("x"))
-    s = g.agg(F.avg("x").alias("m"), F.median("x").alias("md"))
+    s = g.agg(F.avg("x").alias("m")).crossJoin(ranks.quantiles(g, [], "x", [0.5]).withColumnRenamed("q0", "md"))  # one row each
     return g.crossJoin(F.broadcast(s)).select("country", "week", F.round(F.coalesce("x", "m"), 6).alias("x_mean"), F.round(F.coalesce("x", "md"), 6).alias("x_median"), F.col("x").isNotNull().cast("int").alias("covered"), F.round(F.coalesce("x", F.lit(0.0)), 6).alias("x_zero"))  # one row
 
 
 @query("recency_and_systematic_sample", f"""WITH {LEDGER_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period, id) a, row_number() OVER (PARTITION BY entity ORDER BY period DESC, id DESC) z, count(*) OVER (PARTITION BY entity) n FROM fx_ledger)
  SELECT id, entity, CAST(z <= 20 AS int) latest_20, round((a - 1) / greatest(1, n - 1), 6) recency FROM r WHERE (a - 1) % 5 = 0""")
 def recency_and_systematic_sample(spark, d):
-    up, down, whole = Window.partitionBy("entity").orderBy("period", "id"), Window.partitionBy("entity").orderBy(F.desc("period"), F.desc("id")), Window.partitionBy("entity")
-    r = ledger(spark, d).withColumns({"a": F.row_number().over(up), "z": F.row_number().over(down), "n": F.count(F.lit(1)).over(whole)})
-    return r.where("(a - 1) % 5 = 0").select("id", "entity", (F.col("z") <= 20).cast("int").alias("latest_20"), F.round((F.col("a") - 1) / F.greatest(F.lit(1), F.col("n") - 1), 6).alias("recency"))
+    r = ranks.ranked(ledger(spark, d).withColumn("_d", F.unix_date("period")), ["entity"], "_d", ["id"], descending=False).withColumnsRenamed({"k": "a", "k_all": "n"})
+    return r.where("(a - 1) % 5 = 0").select("id", "entity", (F.col("n") - F.col("a") < 20).cast("int").alias("latest_20"), F.round((F.col("a") - 1) / F.greatest(F.lit(1), F.col("n") - 1), 6).alias("recency"))
 
 
 @query("standardised_features", f"""WITH {CONFLICT_SQL}, g AS (SELECT country, {WEEK.format('date_start')} AS week, count(*) x, CAST(sum(best) AS double) y FROM fx_conflict GROUP BY 1, 2), s AS (SELECT country, avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy FROM g GROUP BY 1)

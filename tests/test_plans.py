@@ -47,7 +47,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "two_stage_severity" else SF).count() > 0
+    cells = ("two_stage_severity", "unseen_type_auc", "cell_prompts")  # no cell has 15 events in the smallest tables
+    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name in cells else SF).count() > 0
 
 
 def test_entry(spark):
