@@ -107,3 +107,14 @@ def sundays(spark: SparkSession, first_day: str, last_day: str) -> DataFrame:
 def append_new(log: DataFrame | None, rows: DataFrame, keys: list[str], path: str) -> None:
     """Append the rows whose key isn't logged yet."""
     (rows if log is None else rows.join(log.select(*keys).distinct(), keys, "left_anti")).write.mode("append").json(path)
+
+
+def large_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A large header CSV in narrow types: malformed lines are dropped, splits of the file are read side by side."""
+    return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED")
+
+
+def event_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Calendar of dated events by country; rows without a valid date are dropped."""
+    df = spark.read.schema("country string, event_date string, event_type string, source string").csv(path, header=True)
+    return df.withColumn("event_date", F.col("event_date").try_cast("date")).dropna(subset=["event_date"])
