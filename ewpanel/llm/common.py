@@ -46,14 +46,14 @@ def stage_table(df: DataFrame, name: str, batch_bytes: int | None = None, path:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     wanted = {CLEAN: "true"} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
-    before = {key: spark.conf.get(key) for key in wanted}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():
             spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
