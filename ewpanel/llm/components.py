@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", within: Stages | No
         last,
     )
     before, turn = _state(current), 0
-    while True:
+    while before[0]:
         turn += 1
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

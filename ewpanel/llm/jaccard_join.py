@@ -336,8 +336,9 @@ def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) ->
         mixed = mixed.select(F.col("c").alias("centre"), "x", "n", "low", "high", F.col("component_x").alias("component"), "sketch", "blocks")
         told = found.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
         rest = stages.table(_around_centres(mixed, percent, nearest).join(told, ["c", "x"], "left_anti"), "rest-pairs")
-        rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
-        found = found.union(verified(rest, f"verified-rest-{turn}"))
+        if rest.take(1):
+            rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
+            found = found.union(verified(rest, f"verified-rest-{turn}"))
         stages.drop("components", "rest-pairs", "rest-near", f"around-{turn}")
 
     node = components(found.where("linked").select("c", "x"), "c", "x", stages)
