@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ewpanel.llm.common import new_path
 from ewpanel.llm.exact_dedup import DigestIndex, dedup
 from ewpanel.llm.hard_negatives import mine
+from ewpanel.llm.html_text import extract
 from ewpanel.llm.jaccard_join import jaccard_components
 from ewpanel.llm.language_id import fit_samples, held_out, identify
 from ewpanel.llm.line_dedup import line_dedup
@@ -83,9 +84,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_exact_dedup, op3_substring_dedup, op4_packing, op5_mixing, op6_ngram_jaccard_join, op7_line_dedup,
-    op8_language_id, op9_warc, op10_token_files, op11_hard_negatives, op12_whitening,
+    op8_language_id, op9_warc, op10_token_files, op11_hard_negatives, op12_whitening, op13_html_text,
 )}
 
 ORACLE_SQL = {
