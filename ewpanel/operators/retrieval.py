@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ewpanel.functions.staging import staged
+
 
 def standardise(df: DataFrame, columns: list[str], by: list[str], train: DataFrame | None = None) -> DataFrame:
     """Each feature by the mean and population deviation (+1e-9) of its group in ``train`` (``df`` itself if none), from one grouped aggregate."""
@@ -50,36 +54,141 @@ def recency_blend(similarity: Column, recency: Column, weight: float) -> Column:
     return (1 - weight) * similarity + weight * recency
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
-    """The k nearest other rows (Euclidean, ties to the smaller id) of every row: u, w, distance.
+def _compare(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query point the k best (id, squared distance) among the members' ids, ties to the smaller id."""
+    out = []
+    if len(queries) and len(members):
+        y, first = np.stack(members["v"]), members["p"].to_numpy()
+        ids = members["ids"].tolist()
+        for p, v in zip(queries["p"].tolist(), queries["v"]):
+            d = np.round(((y - v) ** 2).sum(1), 9)
+            near = np.arange(len(d)) if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+            near = near[np.lexsort((first[near], d[near]))][:k]  # a point after k others gives none of the k best
+            best = sorted((d[i], w) for i in near for w in ids[i])[:k]
+            out += [(p, w, x) for x, w in best]
+    return pd.DataFrame(out, columns=["p", "w", "distance"]).astype({"p": "int64", "w": "int64", "distance": "float64"})
+
 
-    Exact: rows are dealt by a hash to blocks of about ``block``, any two blocks are
-    compared by one task, and each gives k candidates a row. The distances computed grow
-    with the square of the rows, as any exact search of all rows does; no task holds
-    more than two blocks.
+class PivotCells:
+    """Points (p, v, ids) in the cells of their nearest pivots, and what is known of each cell.
+
+    ``pivots`` is a matrix of bounded size; ``radius`` holds the least and greatest distance of a cell's points from its
+    pivot, ``count`` their number and ``subs`` the number of blocks they are dealt to.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    dealt = df.select(F.col(id_col).cast("long").alias("u"), F.col(vector).cast("array<double>").alias("v"), own.alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("u", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        sides = {b: pdf[pdf["own"] == b] for b in {i, j}}
-        for a, b in {(i, j), (j, i)}:
-            p, q = sides[a], sides[b]
-            if not len(p) or not len(q):
-                continue
-            x, y, w = np.stack(p["v"]), np.stack(q["v"]), q["u"].to_numpy()
-            for u, v in zip(p["u"].tolist(), x):
-                d = np.round(((y - v) ** 2).sum(1), 9)
-                order = np.lexsort((w, d))[: k + 1]
-                order = order[w[order] != u][:k]
-                out.append(pd.DataFrame({"u": u, "w": w[order], "distance": d[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"u": [], "w": [], "distance": []})
-
-    found = dealt.groupBy("i", "j").applyInPandas(run, "u long, w long, distance double")
+    def __init__(self, points: DataFrame, pivots: int | None, block: int, seed: int, most_bytes: int = 16 << 20):
+        n, width = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        wanted = max(1, min(pivots or min(1024, int(n ** 0.5)), most_bytes // (8 * max(1, width or 1))))
+        chosen = points.select("p", "v").orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(wanted).collect()
+        self.pivots = np.array([r["v"] for r in chosen], float).reshape(len(chosen), -1)
+        matrix, kinds = self.pivots, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                d = distances(pdf["v"], matrix)
+                cell = d.argmin(1)
+                yield pdf.assign(cell=cell.astype("int32"), away=d[np.arange(len(d)), cell])
+
+        self.points = staged(points.mapInPandas(assign, f"{kinds}, cell int, away double")) if len(chosen) else points.withColumns({"cell": F.lit(0), "away": F.lit(0.0)})
+        self.count, self.radius = np.zeros(len(chosen), np.int64), np.zeros((len(chosen), 2))
+        for r in self.points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).collect():  # a row for each pivot
+            self.count[r["cell"]], self.radius[r["cell"]] = r["n"], (r["lo"], r["hi"])
+        self.subs = np.maximum(1, -(-self.count // block))
+
+    def of_cell(self, numbers: np.ndarray):
+        """A number for each cell as a column over ``cell``."""
+        return F.element_at(F.array(*[F.lit(int(x)) for x in numbers] or [F.lit(1)]), F.col("cell") + 1)
+
+    def dealt(self) -> DataFrame:
+        return self.points.withColumn("sub", F.pmod(F.xxhash64("p"), self.of_cell(self.subs)).cast("int"))
+
+
+def distances(vectors, pivots: np.ndarray) -> np.ndarray:
+    v = np.stack(vectors) if len(vectors) else np.zeros((0, pivots.shape[1]))
+    return np.sqrt(np.maximum(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(2) if v.size * len(pivots) < 1 << 22 else np.stack([((v - p) ** 2).sum(1) for p in pivots], 1), 0))
+
+
+def open_cells(d: np.ndarray, own: np.ndarray, bound: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Points by cells but their own: may the cell hold a point within ``bound`` (a squared distance, rounded at 9 digits)?
+
+    ``d`` are the points' distances from all pivots. A cell's points are no nearer than the cell's ring allows, and lie
+    on its pivot's side of the plane between it and the pivot of the point's own cell.
+    """
+    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2))
+    here = d[np.arange(len(d)), own]
+    plane = (d ** 2 - here[:, None] ** 2) / np.maximum(2 * between[own], 1e-300)
+    least = np.maximum(np.maximum(d - radius[None, :, 1], radius[None, :, 0] - d), np.where(between[own] > 0, plane, 0.0))
+    least = np.maximum(least - 1e-9 * (1 + d), 0)
+    out = (least ** 2 <= bound[:, None] * (1 + 1e-9) + 1e-8) & (count > 0)[None, :]
+    out[np.arange(len(d)), own] = False
+    return out
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("p").orderBy("distance", "w")
+    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048, pivots: int | None = None, seed: int = 7) -> DataFrame:
+    """The k nearest other rows (Euclidean, ties to the smaller id) of every row: u, w, distance (squared, 9 digits).
+
+    Exact, by pivots. Equal vectors are one point with its k + 1 smallest ids, so that a hot vector is compared once. Each
+    point lies in the cell of its nearest pivot. It first meets its own cell, which bounds its last distance; a second
+    round sends it to those cells alone that the triangle inequality leaves within that bound (``open_cells``). Cells meet in
+    blocks of about ``block`` points, two blocks a task, so no task holds a cell. Without clusters (many dimensions, no
+    structure) the bounds leave all cells, and the work grows with the square of the points.
+
+    Every task gets the ``pivots`` (the root of the number of points by default, at most 1,024 and 16 MB) and three numbers
+    of each cell. Rows with a null id or vector take no part; vectors have one length and ids are distinct.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("u"), F.col(vector).cast("array<double>").alias("v")).where("u is not null and v is not null")
+    points = staged(_points_of(rows, k + 1))
+    cells = PivotCells(points, pivots, block, seed)
+    near = staged(_best(_in_own_cell(cells, k + 1), k + 1).drop("_k"))
+    found = _best(near.union(_in_open_cells(cells, near, k + 1, block)), k + 1)
+    lists = rows.join(points.select("p", "v"), "v").select("u", "p").join(found.select("p", "w", "distance"), "p").where("u <> w")
     rank = F.row_number().over(Window.partitionBy("u").orderBy("distance", "w"))
-    return found.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
+    return lists.withColumn("_k", rank).where(F.col("_k") <= k).select("u", "w", "distance")
+
+
+def _points_of(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct vectors with their k smallest ids, of which p is the first; ranks are cut before they move."""
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("v").orderBy("u"))).where(F.col("_k") <= k)
+    return first.groupBy("v").agg(F.min("u").alias("p"), F.array_sort(F.collect_list("u")).alias("ids")).select("p", "v", "ids")
+
+
+def _in_own_cell(cells: PivotCells, k: int) -> DataFrame:
+    """Candidates (p, w, distance) of each point from its own cell, two blocks of the cell a task."""
+    pairs = cells.dealt().withColumn("other", F.explode(F.sequence(F.lit(0), cells.of_cell(cells.subs) - 1)))
+    pairs = pairs.select("cell", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "p", "v", "ids")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["sub"] == pdf["i"].iloc[0]], pdf[pdf["sub"] == pdf["j"].iloc[0]]
+        return _compare(a, b, k) if len(a) == len(b) == len(pdf) else pd.concat([_compare(a, b, k), _compare(b, a, k)])
+
+    return pairs.groupBy("cell", "i", "j").applyInPandas(run, "p long, w long, distance double")
+
+
+def visits(cells: PivotCells, near: DataFrame, k: int) -> DataFrame:
+    """(cell, p, v) of each point with each further cell that it must meet, given its candidates so far."""
+    last = near.groupBy("p").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("bound"))
+    matrix, radius, count = cells.pivots, cells.radius, cells.count
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, cell = np.nonzero(open_cells(distances(pdf["v"], matrix), pdf["cell"].to_numpy(), pdf["bound"].to_numpy(), matrix, radius, count))
+            yield pd.DataFrame({"cell": cell.astype("int32"), "p": pdf["p"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+
+    return cells.points.join(last, "p").select("p", "v", "cell", "bound").mapInPandas(run, "cell int, p long, v array<double>")
+
+
+def _in_open_cells(cells: PivotCells, near: DataFrame, k: int, block: int) -> DataFrame:
+    asks = staged(visits(cells, near, k))
+    sizes = np.zeros(len(cells.count), np.int64)
+    for r in asks.groupBy("cell").count().collect():  # a row for each pivot
+        sizes[r["cell"]] = r["count"]
+    chunks = np.maximum(1, -(-sizes // block))
+    asks = asks.withColumns({"chunk": F.pmod(F.xxhash64("p"), cells.of_cell(chunks)).cast("int"), "sub": F.explode(F.sequence(F.lit(0), cells.of_cell(cells.subs) - 1))})
+    members = cells.dealt().where(cells.of_cell(sizes) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), cells.of_cell(chunks) - 1)))
+    key = ["cell", "sub", "chunk"]
+    return asks.groupBy(*key).cogroup(members.select(*key, "p", "v", "ids").groupBy(*key)).applyInPandas(lambda a, b: _compare(a, b, k), "p long, w long, distance double")
