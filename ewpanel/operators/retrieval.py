@@ -89,7 +89,7 @@ class PivotCells:
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), away=d[np.arange(len(d)), cell])
 
-        self.points = staged(points.mapInPandas(assign, f"{kinds}, cell int, away double")) if len(chosen) else points.withColumns({"cell": F.lit(0), "away": F.lit(0.0)})
+        self.points = staged(points.mapInPandas(assign, f"{kinds}, cell int, away double"))
         self.count, self.radius = np.zeros(len(chosen), np.int64), np.zeros((len(chosen), 2))
         for r in self.points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).collect():  # a row for each pivot
             self.count[r["cell"]], self.radius[r["cell"]] = r["n"], (r["lo"], r["hi"])
@@ -143,6 +143,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048,
     """
     rows = df.select(F.col(id_col).cast("long").alias("u"), F.col(vector).cast("array<double>").alias("v")).where("u is not null and v is not null")
     points = staged(_points_of(rows, k + 1))
+    if points.isEmpty():
+        return df.sparkSession.createDataFrame([], "u long, w long, distance double")
     cells = PivotCells(points, pivots, block, seed)
     near = staged(_best(_in_own_cell(cells, k + 1), k + 1).drop("_k"))
     found = _best(near.union(_in_open_cells(cells, near, k + 1, block)), k + 1)

@@ -11,6 +11,7 @@ from ewpanel.plans.candidates import candidate_age_windows, candidate_forward_la
 from ewpanel.plans.graphs import hyper, smoothed, theme_docs
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CONFLICT_SQL, conflict_events, table
+from ewpanel.streaming import feeds
 
 FEATURES = ["n_events", "deaths", "n_events_lag1", "deaths_lag1", "n_events_lag2"]
 
@@ -178,15 +179,19 @@ def feature_importances(spark, d):
 
 @query("stream_weekly_counts", """SELECT event_type, CAST(date_trunc('week', ts) AS timestamp) AS week, count(*) n_events FROM events GROUP BY 1, 2""")
 def stream_weekly_counts(spark, d):
-    """The streaming form's aggregation on the table read as a batch: equal to the stream's final state."""
-    from ewpanel.streaming.feeds import weekly_counts
-
-    return weekly_counts(table(spark, d, "events"), "event_type", "ts")
+    """The table read as a stream, counted by week under a watermark, run to its end and read back."""
+    return feeds.run_available(feeds.weekly_counts(feeds.read_stream(spark, f"{d}/events.parquet"), "event_type", "ts"), ["event_type", "week"])
 
 
 @query("stream_sliding_counts", """WITH e AS (SELECT event_type, ts, CAST(date_trunc('week', ts) AS timestamp) wk FROM events), x AS (SELECT event_type, ts, wk + (k * 7) * INTERVAL 1 DAY AS issue FROM e, range(1, 6) r(k))
  SELECT event_type, issue, count(*) n_events FROM x WHERE ts < issue AND ts >= issue - INTERVAL 30 DAY GROUP BY 1, 2""")
 def stream_sliding_counts(spark, d):
-    from ewpanel.streaming.feeds import sliding_counts
+    return feeds.run_available(feeds.sliding_counts(feeds.read_stream(spark, f"{d}/events.parquet"), "event_type", "ts"), ["event_type", "issue"])
+
 
-    return sliding_counts(table(spark, d, "events"), "event_type", "ts")
+@query("stream_intensity", """WITH l AS (SELECT event_type, max(ts) last FROM events GROUP BY 1)
+ SELECT event_type, round(epoch(any_value(last)), 3) "at", round(sum(exp(-ln(2) / 86400 * (epoch(last) - epoch(ts)))), 6) intensity, count(*) n FROM events JOIN l USING (event_type) GROUP BY 1""")
+def stream_intensity(spark, d):
+    """Decaying intensity by type at its last event, half life a day, from state that a stream keeps."""
+    r = feeds.run_available(feeds.decaying_intensity(feeds.read_stream(spark, f"{d}/events.parquet"), "event_type", "ts", 86400.0), ["event_type"])
+    return r.select("event_type", F.round("at", 3).alias("at"), F.round("intensity", 6).alias("intensity"), "n")

@@ -128,10 +128,7 @@ def test_stream_equals_batch(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(map(tuple, spark.table(f"counts{k}").collect())) == sorted(map(tuple, f(events, "event_type", "ts").collect()))
-    q = feeds.decaying_intensity(stream, "event_type", "ts", 86400.0).writeStream.format("memory").queryName("hawkes").outputMode("update").option("checkpointLocation", str(tmp_path / "h")).start()
-    q.processAllAvailable()
-    q.stop()
-    for r in spark.table("hawkes").collect():
+    for r in feeds.run_available(feeds.decaying_intensity(stream, "event_type", "ts", 86400.0), ["event_type"], str(tmp_path / "h")).collect():
         times = [x.t for x in events.where(F.col("event_type") == r.event_type).select(F.col("ts").cast("timestamp").cast("double").alias("t")).collect()]
         assert r.intensity == pytest.approx(sum(math.exp(-math.log(2) / 86400 * (max(times) - t)) for t in times))
 
