@@ -76,6 +76,17 @@ class Stages:
         self.drop(*(name for name in list(self.paths) if name not in keep))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as ``df`` needs to have no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

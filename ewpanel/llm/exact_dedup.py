@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import Stages
+from ewpanel.llm.common import Stages, remove, shared_dir
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -37,15 +37,18 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.exists():
+            place = self.spark.sql(f"DESCRIBE FORMATTED {self.table}").where("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            remove(self.spark, place)
 
     def append_new(self, groups: DataFrame) -> None:
         """Add the rows of ``groups`` (unique digests) whose digest isn't there yet."""
-        new = groups
+        new, place = groups, {"path": f"{shared_dir(self.spark)}/digest-index-{self.table}"}
         if self.exists():
-            new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+            new, place = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti"), {}
         (new.select("digest", "keep_id", "keep_row", "batch")
-            .write.mode("append").format("parquet")
+            .write.mode("append").format("parquet").options(**place)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 

@@ -14,6 +14,7 @@ from ewpanel.llm.components import components
 from ewpanel.llm.words import shingle_sets
 
 SLICE = 2 << 20  # bytes of text that are hashed at a time
+TOKEN_KEYS = 0x9E3779B97F4A7C15  # orders tokens apart from their segments
 SLACK = 4  # segments for each one that may be left out
 LEAST_BITS = 1024  # of a parity sketch
 BLOCK = 256  # sets around a centre that are compared with one another at a time
@@ -32,9 +33,16 @@ class Bands:
     the symmetric difference, and at least t + 1 segments of a linked pair agree.
     A segment is represented by the exclusive or of its tokens' hashes. Segments with
     few tokens are often equal by chance, so each set leaves out those with fewer than
-    w tokens, w as large as leaves out at most t. This loses no pair: agreeing
-    segments hold the same tokens in both sets, and of the t + 1 at most t have fewer
-    tokens than the larger w of the two.
+    w tokens, w as large as leaves out at most t. This loses no pair: of the t + 1
+    segments that hold the same tokens in both sets at most t have fewer tokens than the larger w of the two.
+
+    An empty segment is never a key, as unrelated sets share it. A set with more than t empty segments keeps all
+    others. It and a linked set then have a key in common unless all segments that agree are empty; but
+    then every segment that it fills differs. So where it fills more segments than any link's difference
+    allows, nothing is lost. Else (all its tokens in a few segments) it also has token keys: its first
+    n - ceil(percent * n / 100) + 1 tokens in a fixed order. Two linked sets that both have token
+    keys share one: they have at least percent / 100 of the larger in common, so not all
+    common tokens can come after the first ones of either.
     """
 
     def __init__(self, percent: int):
@@ -56,8 +64,12 @@ class Bands:
         slack = (differ + 1) // SLACK
         return differ + 1 + slack, slack
 
+    def differ(self, n: int, band: int) -> int:
+        """The greatest symmetric difference of a set of n tokens and a linked one of the band's sizes."""
+        return (100 - self.percent) * (n + min(self.upper[band], 100 * n // self.percent)) // (100 + self.percent)
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """The lookup keys (band, segment, segment's parity) of a token set."""
+        """The lookup keys of a token set: (band, segment, segment's parity), and tokens of sets that fill few segments."""
         out = []
         for band in self.wanted(len(tokens)):
             segments, slack = self.shape(band)
@@ -69,14 +81,14 @@ class Bands:
             size = np.diff(np.append(first, len(place)))
             fewer = segments - len(used) + np.cumsum(np.bincount(size))
             if segments - len(used) > slack:
-                every = np.zeros(segments, np.uint64)
-                every[used.astype(np.int64)] = parity
-                used, parity = np.arange(segments, dtype=np.uint64), every
+                if len(used) <= self.differ(len(tokens), band):
+                    first_tokens = np.sort(mix64(tokens ^ np.uint64(TOKEN_KEYS)))[: len(tokens) - -(-self.percent * len(tokens) // 100) + 1]
+                    out.append(mix64(first_tokens + np.uint64(1)))
             else:
                 dense = size >= np.searchsorted(fewer, slack, "right")
                 used, parity = used[dense], parity[dense]
             out.append(mix64(parity ^ mix64(used + np.uint64((band + 1) << 40))))
-        return np.concatenate(out)
+        return np.unique(np.concatenate(out))
 
 
 def _set_hash(tokens: np.ndarray) -> int:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ewpanel.llm.common import stage_table
+from ewpanel.llm.common import fresh_names, stage_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 4096  # of a source at most
@@ -188,11 +188,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: the columns of ``docs`` plus mix_shard and mix_order, a row for each time a document is taken.
 
     Within a shard mix_order is a seeded hash order: sorting by it shuffles the
-    shard locally. Documents without words are not taken.
+    shard locally. Documents without words are not taken. Null ids and sources are values
+    like others; repeated rows are each taken as often as their block. mix_shard and mix_order replace columns of
+    these names, all others stay, whatever their names. An empty table gives an empty result.
     """
     placed, plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     drawn = placed.where("size > 0").select("id", "text_hash", "source", "key", "block").distinct().join(plan, ["key", "block"])
-    drawn = stage_table(drawn.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("shard").alias("mix_shard"),
+    own_id, own_hash, own_source = fresh_names(docs, "_id", "_hash", "_source")
+    drawn = stage_table(drawn.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("source").alias(own_source), F.col("shard").alias("mix_shard"),
                                      F.xxhash64(F.lit(seed), "id", "text_hash", "pass").alias("mix_order")), "drawn")
-    on = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")) & docs[source_col].cast("string").eqNullSafe(F.col("_source"))
-    return docs.drop("mix_shard", "mix_order").join(drawn, on).drop("_id", "_hash", "_source")
+    on = docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(own_hash)) & docs[source_col].cast("string").eqNullSafe(F.col(own_source))
+    return docs.drop("mix_shard", "mix_order").join(drawn, on).drop(own_id, own_hash, own_source)

@@ -33,13 +33,14 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, index = _table(spark, sf_dir, "documents"), DigestIndex(spark)
     first, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    decided = dedup(docs, index, cuts=() if first is None else (first + (last - first + 1) // 2,))  # two batches, so that the second meets the index
-    index.drop()
-    return decided
+    try:
+        return dedup(docs, index, cuts=() if first is None else (first + (last - first + 1) // 2,))  # two batches, so that the second meets the index
+    finally:
+        index.drop()
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"), wide=True).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ewpanel.llm.common import stage_table
+from ewpanel.llm.common import fresh_names, stage_table
 
 #: Between a sentence (with the white space after it) and the next; nothing is lost by the cut.
 CUT = r"(?<=[.!?][\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=\n)(?=[^\x20\x09-\x0D])"
@@ -105,7 +105,7 @@ def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return spans.where(enough).select("id", "text_hash", "place", "size", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
-def substring_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """Remove sentences that lie in a repeated run and not in its first occurrence.
 
     Every run of ``run`` consecutive sentences with at least ``min_words`` words is
@@ -120,7 +120,7 @@ def substring_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, id_col:
     byte. Null texts stay null, without sentences; empty texts have one sentence and
     lose none. Rows that repeat an id with the same text are one document and lose the
     same sentences. An empty table gives an empty result. Columns of those three names
-    are replaced.
+    are replaced, all others stay, whatever their names.
 
     Hot runs: first occurrences are pre-aggregated minima, and the join back of all
     runs is between two plain shuffles, which Spark splits.
@@ -133,13 +133,14 @@ def substring_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, id_col:
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place"))))
     gone = again.select("id", "text_hash", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("place"))
     gone = stage_table(gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("removed")), "removed-sentences")
-    gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
+    own_id, own_hash, lost = fresh_names(docs, "_id", "_hash", "_removed")
+    gone = gone.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("removed").alias(lost))
     text = F.col(text_col).cast("string")
-    kept = F.array_join(F.filter(sentences(text, whole), lambda _, i: ~F.array_contains("_removed", i)), "")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    kept = F.array_join(F.filter(sentences(text, whole), lambda _, i: ~F.array_contains(lost, i)), "")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
     return joined.withColumns({
-        text_col: F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept),
+        text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept),
         "n_sentences": F.when(text.isNull(), F.lit(0)).otherwise(F.size(sentences(text, whole))),
-        "n_removed": F.when(F.col("_removed").isNull(), F.lit(0)).otherwise(F.size("_removed")),
-        "removed": F.coalesce("_removed", F.array().cast("array<int>")),
-    }).drop("_id", "_hash", "_removed")
+        "n_removed": F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)),
+        "removed": F.coalesce(lost, F.array().cast("array<int>")),
+    }).drop(own_id, own_hash, lost)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ewpanel.llm.components import components
@@ -90,3 +91,31 @@ def test_components(spark):
         x, y = find(a), find(b)
         top[max(x, y)] = min(x, y)
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+@pytest.mark.parametrize("n, percent", [(4, 80), (5, 80), (10, 85), (20, 80), (300, 80)])
+def test_unrelated_sets_share_no_bucket(n, percent):
+    from collections import Counter
+
+    from ewpanel.llm.jaccard_join import Bands
+
+    rng, bands, times = np.random.default_rng(n), Bands(percent), Counter()
+    for _ in range(20_000 // n):
+        times.update(bands.keys(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))).tolist())
+    assert max(times.values()) <= 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_linked_sets_share_a_key(percent):
+    from ewpanel.llm.jaccard_join import Bands
+
+    rng, bands, linked = np.random.default_rng(percent), Bands(percent), 0
+    for _ in range(4000):
+        n, m = int(rng.integers(1, 40)), int(rng.integers(0, 8))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.append(a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 63, m // 3).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+    assert linked > 500

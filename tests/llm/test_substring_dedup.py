@@ -53,7 +53,7 @@ def test_against_brute_force(spark):
         rows.append((i, text))
     rows += [(100, None), (101, ""), (102, "No end " * 20), (103, "No end " * 20)]
     for run, least in ((2, 12), (3, 5)):
-        got = sorted(((str(r.doc_id), r.text, r.removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), run, least).collect()), key=str)
+        got = sorted(((str(r.doc_id), r.text, r.removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), run, least, whole=False).collect()), key=str)
         assert got == brute(rows, run, least)
         assert any(g[2] for g in got)
 
