@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ewpanel.llm.common import Stages, mix64, text_slices
-from ewpanel.llm.components import components
+from ewpanel.llm.components import components, more_links
 from ewpanel.llm.words import shingle_sets
 
 SLICE = 2 << 20  # bytes of text that are hashed at a time
@@ -329,8 +329,7 @@ def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) ->
         stages.drop("tokens")
         return found
 
-    def with_components(some: DataFrame, links: DataFrame, k: str) -> DataFrame:
-        node = components(links.where("linked").select("c", "x"), "c", "x", stages)
+    def with_components(some: DataFrame, node: DataFrame, k: str) -> DataFrame:
         name = node.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
         return some.join(name, k, "left").withColumn(f"component_{k}", F.coalesce(f"component_{k}", k))
 
@@ -338,11 +337,13 @@ def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) ->
     best = near.groupBy("x").agg(F.min(F.struct((F.col("low") / (F.col("nc") + F.col("nx"))).alias("share"), "c")).alias("best"))
     found = verified(stages.table(best.select(F.col("best.c").alias("c"), "x"), "nearest"), "verified-nearest")
 
+    node = components(found.where("linked").select("c", "x"), "c", "x", stages)
+
     # then the nearest possible partners around each centre (the centre is one of the sets), and at last all that is still possible
     for turn, nearest in ((1, True), (2, False)):
         known = screened.join(found, ["c", "x"], "left").select("c", "x", F.col("nx").alias("n"), F.coalesce("differ", "low").alias("low"), F.coalesce("differ", F.lit(1 << 40)).alias("high"))
         itself = screened.select("c", F.col("c").alias("x"), F.col("nc").alias("n"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).distinct()
-        around = stages.table(with_components(known.union(itself), found, "x"), f"around-{turn}")
+        around = stages.table(with_components(known.union(itself), node, "x"), f"around-{turn}")
         mixed = around.groupBy("c").agg(F.min("component_x").alias("a"), F.max("component_x").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("a < b")
         mixed = around.join(mixed.select("c", "blocks"), "c").join(sketches.select(F.col("fp").alias("x"), "sketch"), "x")
         mixed = mixed.select(F.col("c").alias("centre"), "x", "n", "low", "high", F.col("component_x").alias("component"), "sketch", "blocks")
@@ -350,10 +351,11 @@ def jaccard_groups(docs: DataFrame, width: int, percent: int, stages: Stages) ->
         rest = stages.table(_around_centres(mixed, percent, nearest).join(told, ["c", "x"], "left_anti"), "rest-pairs")
         if rest.take(1):
             rest = stages.table(_screen(rest, sketches, percent).where("near").select("c", "x"), "rest-near")
-            found = found.union(verified(rest, f"verified-rest-{turn}"))
-        stages.drop("components", "rest-pairs", "rest-near", f"around-{turn}")
+            new = verified(rest, f"verified-rest-{turn}")
+            node = more_links(node, new.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")), stages, f"nodes-{turn}")
+            found = found.union(new)
+        stages.drop("rest-pairs", "rest-near", f"around-{turn}")
 
-    node = components(found.where("linked").select("c", "x"), "c", "x", stages)
     labelled = stages.table(first.join(node, first.fp == node.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "labelled")
     stages.close("sets", "labelled")
     return sets, labelled
