@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ewpanel.operators import linear, metrics, panel
+from ewpanel.operators import calibration, folds, linear, metrics, panel
+from ewpanel.plans.evaluation import PERIODS_SQL
 from ewpanel.plans.panels import PANEL_SQL
 from ewpanel.plans.registry import query
-from ewpanel.sources.fixtures import conflict_events
+from ewpanel.sources.fixtures import LEDGER_SQL, conflict_events, ledger
 
 LAGGED = ["n_events", "n_events_lag1", "deaths_lag1"]
 
@@ -80,3 +81,17 @@ def block_fold_ledger(spark, d):
     """Ten blocks of weeks, each scored by one model of what lies before the block."""
     s = linear.block_scores(labelled(spark, d), "week", LAGGED, "actual", 52, 10, embargo=1)
     return s.select("country", "week", F.col("fold_id").cast("long").alias("fold_id"), F.col("actual").cast("long").alias("actual"), F.round("prob", 6).alias("prob"), "train_rows", "train_pos")
+
+
+@query("isotonic_frozen", f"""WITH {LEDGER_SQL}, {PERIODS_SQL}, r AS (SELECT entity, floor(prob * 100) / 100 s, actual, CASE WHEN idx < floor(np * 0.48) THEN 'fit' WHEN idx < floor(np * 0.6) THEN 'calibrate' ELSE 'holdout' END part FROM fx_ledger JOIN p USING (period)),
+ f AS (SELECT entity, s, count(*) n, sum(actual) pos FROM r WHERE part = 'calibrate' GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w cn, sum(pos) OVER w cp, row_number() OVER w i FROM f WINDOW w AS (PARTITION BY entity ORDER BY s)),
+ m AS (SELECT a.entity, a.i a, b.i b, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) mean FROM c a JOIN c b ON a.entity = b.entity AND b.i >= a.i), o AS (SELECT c.entity, c.i, c.s, m.a, min(m.mean) least FROM c JOIN m ON m.entity = c.entity AND m.a <= c.i AND m.b >= c.i GROUP BY 1, 2, 3, 4),
+ v AS (SELECT entity, s, max(least) v FROM o GROUP BY 1, 2), h AS (SELECT entity, s, count(*) n, CAST(sum(actual) AS bigint) n_pos FROM r WHERE part = 'holdout' GROUP BY 1, 2),
+ k AS (SELECT h.*, l.s ls, l.v lv, u.s us, u.v uv FROM h ASOF LEFT JOIN v l ON h.entity = l.entity AND h.s >= l.s ASOF LEFT JOIN v u ON h.entity = u.entity AND h.s <= u.s)
+ SELECT entity, s prob, n, n_pos, round(CASE WHEN ls IS NULL THEN uv WHEN us IS NULL OR us = ls THEN lv ELSE lv + (uv - lv) * (s - ls) / (us - ls) END, 6) calibrated FROM k""")
+def isotonic_frozen(spark, d):
+    """Scores (in hundredths) calibrated once by country on the weeks from 48 to 60 hundredths of the calendar, frozen, on all later weeks."""
+    rows = folds.split_by_periods(ledger(spark, d), "period", [0.48, 0.6], ["fit", "calibrate", "holdout"]).withColumn("prob", F.floor(F.col("prob") * 100) / 100)
+    steps = calibration.isotonic_fit(rows.where("part = 'calibrate'"), "prob", "actual", ["entity"])
+    later = rows.where("part = 'holdout'").groupBy("entity", "prob").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("n_pos"))
+    return calibration.isotonic_apply(later, steps, "prob", ["entity"]).select("entity", "prob", "n", "n_pos", F.round("calibrated", 6).alias("calibrated"))
