@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from ewpanel.functions.staging import staged
 from ewpanel.operators.ranks import binned
 
 
-def pooled(n: list, pos: list, lo: list, hi: list) -> list[tuple]:
-    """Adjacent groups in the order of the score, pooled until their rates rise: (lo, hi, n, pos) of each."""
-    out: list[list] = []
-    for block in zip(lo, hi, n, pos):
-        out.append(list(block))
-        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
-            last = out.pop()
-            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
-    return [tuple(b) for b in out]
+def pool(steps: list, step: tuple) -> None:
+    """Adds the next step (lo, hi, n, pos) in the order of the score; neighbours are pooled until their rates rise."""
+    lo, hi, n, pos = step
+    while steps and steps[-1][3] * n >= pos * steps[-1][2]:
+        last = steps.pop()
+        lo, n, pos = last[0], last[2] + n, last[3] + pos
+    steps.append((lo, hi, n, pos))
+
+
+def _pooled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The steps of each group of ``keys``; a task streams its groups in order and holds the steps of one."""
+    schema = df.select(*keys, "lo", "hi", "n", "pos").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, steps, done = None, [], []
+        for batch in batches:
+            for *key, lo, hi, n, pos in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != group:
+                    done += [(*group, *s) for s in steps] if steps else []
+                    group, steps = key, []
+                pool(steps, (lo, hi, n, pos))
+            yield rows(done)
+            done = []
+        yield rows([(*group, *s) for s in steps] if steps else [])
+
+    def rows(of: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in of], kind) for i, kind in enumerate(kinds)], schema.names)
+
+    kinds = to_arrow_schema(schema).types
+    ordered = df.select(*schema.names).repartition(*keys) if keys else df.select(*schema.names).coalesce(1)
+    return ordered.sortWithinPartitions(*keys, "lo").mapInArrow(run, schema)
 
 
 def isotonic_fit(df: DataFrame, prob: str, actual: str, by: list[str], bins: int = 256) -> DataFrame:
@@ -31,20 +57,9 @@ def isotonic_fit(df: DataFrame, prob: str, actual: str, by: list[str], bins: int
     """
     scores = df.where(F.col(prob).isNotNull() & F.col(actual).isNotNull()).groupBy(*by, F.col(prob).cast("double").alias("lo")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(actual).cast("long")).alias("pos"))
-    ranged = binned(scores, "lo", bins).withColumn("hi", F.col("lo"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema.fields) if by else ""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        steps = pd.DataFrame(pooled(*(pdf[c].tolist() for c in ("n", "pos", "lo", "hi"))), columns=["lo", "hi", "n", "pos"])
-        for c in by:
-            steps[c] = pdf[c].iloc[0]
-        return steps[[*by, "lo", "hi", "n", "pos"]]
-
-    schema = f"{kinds}lo double, hi double, n long, pos long"
-    parts = ranged.groupBy(*by, "_bin").applyInPandas(run, schema)
-    whole = parts.groupBy(*by).applyInPandas(run, schema) if by else parts.groupBy(F.lit(0).alias("_all")).applyInPandas(run, schema)
-    return whole.select(*by, "lo", "hi", (F.col("pos") / F.col("n")).alias("value"))
+    ranged = binned(staged(scores), "lo", bins).withColumn("hi", F.col("lo"))
+    whole = _pooled(_pooled(ranged, [*by, "_bin"]), by)
+    return staged(whole.select(*by, "lo", "hi", (F.col("pos") / F.col("n")).alias("value")))
 
 
 def isotonic_apply(df: DataFrame, steps: DataFrame, prob: str, by: list[str], out: str = "calibrated") -> DataFrame:
@@ -55,7 +70,7 @@ def isotonic_apply(df: DataFrame, steps: DataFrame, prob: str, by: list[str], ou
     """
     knots = steps.select(*by, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_s"), F.col("value").alias("_v"))
     asked = df.where(F.col(prob).isNotNull()).select(*by, F.col(prob).cast("double").alias("_s"), F.lit(None).cast("double").alias("_v"))
-    rows = binned(asked.union(knots).groupBy(*by, "_s").agg(F.max("_v").alias("_v")), "_s")
+    rows = binned(staged(asked.union(knots).groupBy(*by, "_s").agg(F.max("_v").alias("_v"))), "_s")
     knot = F.when(F.col("_v").isNotNull(), F.struct("_s", "_v"))
     order = Window.partitionBy(*by).orderBy("_bin")
     ranges = rows.groupBy(*by, "_bin").agg(F.max(knot).alias("_l"), F.min(knot).alias("_f"))

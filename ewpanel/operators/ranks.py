@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ewpanel.functions.staging import staged
+
 BINS = 256
 
 
@@ -30,7 +32,7 @@ def running(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], d
     Rows are windowed within a group's bins, which hold about 1 / bins of all rows
     each; totals of the bins before come from a table of groups by bins.
     """
-    rows = binned(df.withColumns(sums), value, bins, descending)
+    rows = binned(staged(df.withColumns(sums)), value, bins, descending)  # read for the bounds, the totals and the result
     totals = rows.groupBy(*by, "_bin").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
     order = F.desc("_bin") if descending else F.asc("_bin")
     whole = Window.partitionBy(*by)
