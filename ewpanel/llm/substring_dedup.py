@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ewpanel.llm.common import fresh_names, stage_table
+from ewpanel.llm.common import Stages, fresh_names, stage_table
 
 #: Between a sentence (with the white space after it) and the next; nothing is lost by the cut.
 CUT = r"(?<=[.!?][\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=\n)(?=[^\x20\x09-\x0D])"
@@ -126,13 +126,15 @@ def substring_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, id_col:
     runs is between two plain shuffles, which Spark splits.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    spans = (_whole_spans if whole else _spans)(source, run, min_words)
+    stages = Stages(docs.sparkSession)
+    spans = stages.table((_whole_spans if whole else _spans)(source, run, min_words), "sentence-spans")  # texts are cut once for both uses
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("times"))
-    first = stage_table(first.where("times > 1").select("h1", "h2", "first"), "repeated-spans")
+    first = stages.table(first.where("times > 1").select("h1", "h2", "first"), "repeated-spans")
     again = spans.join(first, ["h1", "h2"]).where(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place"))))
     gone = again.select("id", "text_hash", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("place"))
     gone = stage_table(gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("removed")), "removed-sentences")
+    stages.close()
     own_id, own_hash, lost = fresh_names(docs, "_id", "_hash", "_removed")
     gone = gone.select(F.col("id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("removed").alias(lost))
     text = F.col(text_col).cast("string")
