@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], candidate: str) -> dict[str, float]:
+def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], candidate: str, least: int = 20) -> dict[str, float | None]:
     """F-test of one more regressor in a model with entity effects.
 
     Variables are demeaned within entities, so dummies never appear; X'X, X'y and y'y
-    are one aggregate of k * k numbers, solved on the driver. Returns f, r2, coef, n.
+    are one aggregate of k * k numbers, solved on the driver. Returns f, p, r2 (within entities), coef, n;
+    all but n are None with fewer than ``least`` complete rows, without a degree of freedom or a rest.
     """
     names = [y, *own, candidate]
     rows = df.dropna(subset=names)
@@ -34,6 +36,8 @@ def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], can
     base, _ = residual(list(range(1, k - 1)))
     full, beta = residual(list(range(1, k)))
     free = sums["n"] - entities - (k - 1)
+    if sums["n"] < least or free < 1 or not full > 0:
+        return {"f": None, "p": None, "r2": None, "coef": None, "n": int(sums["n"])}
     f = float((base - full) / (full / free))
     return {"f": f, "p": f_tail(f, 1, free), "r2": float(1 - full / m[0, 0]), "coef": float(beta[-1]), "n": int(sums["n"])}
 
@@ -67,33 +71,86 @@ def f_tail(f: float, a: int, b: int) -> float:
     return 1 - front * fraction(1 - x, q, p) / q
 
 
+def f_tail_column(f: Column, a: int, b: Column) -> Column:
+    """P(F > f) for one or two numerator degrees of freedom and a whole number ``b`` of others, as a column.
+
+    Two have a closed form; one is the two-sided tail of Student's t, a finite sum of about b / 2 terms
+    in the angle atan(sqrt(f / b)). Exact to about 1e-14 (absolute); null where f is null or b < 1.
+    """
+    x = b / (b + a * f)
+    if a == 2:
+        out = F.pow(x, b / 2)
+    elif a == 1:
+        even = b % 2 == 0
+        terms = F.floor((b - 1) / 2).cast("int")  # after the first
+        first = F.when(even, F.lit(1.0)).otherwise(F.sqrt(x))
+        none = F.struct(first.alias("term"), first.alias("total"))
+
+        def add(s: Column, j: Column) -> Column:
+            term = s["term"] * x * F.when(even, (2 * j - 1) / (2 * j)).otherwise(2 * j / (2 * j + 1))
+            return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+        steps = F.when(even, b / 2 - 1).otherwise(terms - 1).cast("int")
+        total = F.aggregate(F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), none, add)["total"]
+        sine, angle = F.sqrt(1 - x), F.atan(F.sqrt(f / b))
+        odd = 1 - 2 / math.pi * (angle + F.when(b == 1, 0.0).otherwise(sine * total))
+        out = F.when(even, 1 - sine * total).otherwise(odd)
+    else:
+        raise ValueError("one or two numerator degrees of freedom")
+    return F.when((b >= 1) & f.isNotNull(), F.when(f <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), out)))
+
+
+def _eliminated(sums: DataFrame, names: list[str], pivots: list[str], keep: list[str]) -> DataFrame:
+    """Gaussian elimination of ``pivots`` from symmetric matrices of columns m_{a}_{b} (a before b in ``names``), one row a matrix.
+
+    After it, m_{y}_{y} is the residual sum of squares of y on the pivots. A pivot that
+    is a linear combination of those before it changes nothing.
+    """
+    at = lambda a, b: f"m_{a}_{b}" if names.index(a) <= names.index(b) else f"m_{b}_{a}"
+    left = list(names)
+    for pivot in pivots:
+        left.remove(pivot)
+        d = F.col(at(pivot, pivot))
+        inverse = F.when(d > 1e-10 * F.col(f"d_{pivot}"), 1 / d).otherwise(0.0)
+        sums = sums.withColumn("_inv", inverse).select(
+            *keep, *[f"d_{n}" for n in names],
+            *[(F.col(at(a, b)) - F.col(at(pivot, a)) * F.col(at(pivot, b)) * F.col("_inv")).alias(at(a, b)) for i, a in enumerate(left) for b in left[i:]])
+    return sums
+
+
 def ssr_granger(df: DataFrame, entity: str, period: str, y: str, x: str, lags: int = 1, least: int = 12) -> DataFrame:
-    """Per entity: for 1 to ``lags`` lags of x added to an autoregression of y the F-test with the smallest p.
+    """Per entity: for 1 to ``lags`` (at most 2) lags of x added to an autoregression of y the F-test with the smallest p.
 
-    Each group is one entity's series. Returns f, p, lag and n of that test; entities
-    with fewer than ``least`` usable periods have none.
+    One window for the lags, one grouped aggregate of products (of values less the entity's
+    mean), then elimination by column expressions: no rows of an entity leave the JVM or meet in
+    one buffer. Returns f, p, lag and n of that test (ties: the smaller lag); entities with fewer
+    than ``least`` periods, none of whose tests has a degree of freedom, or whose y is fitted without rest have none.
     """
-    import pandas as pd
-
-    def test(a: np.ndarray, b: np.ndarray, k: int):
-        n = len(a) - k
-        if n < max(least, 2 * k + 2):
-            return None
-        target = a[k:]
-        own = np.column_stack([np.ones(n), *[a[k - i : len(a) - i] for i in range(1, k + 1)]])
-        more = np.column_stack([own, *[b[k - i : len(b) - i] for i in range(1, k + 1)]])
-        rss = [float(((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2).sum()) for m in (own, more)]
-        free = n - more.shape[1]
-        if not rss[1] > 0:
-            return None
-        f = (rss[0] - rss[1]) / k / (rss[1] / free)
-        return f_tail(f, k, free), f, k, n
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        a, b = pdf[y].to_numpy(float), pdf[x].to_numpy(float)
-        found = [t for t in (test(a, b, k) for k in range(1, lags + 1)) if t]
-        rows = [(pdf[entity].iloc[0], f, p, k, n) for p, f, k, n in sorted(found)[:1]]
-        return pd.DataFrame(rows, columns=[entity, "f", "p", "lag", "n"]).astype({"f": float, "p": float, "lag": "int32", "n": "int64"})
-
-    return df.select(entity, period, y, x).dropna().groupBy(entity).applyInPandas(run, f"{entity} string, f double, p double, lag int, n long")
+    if not 1 <= lags <= 2:
+        raise ValueError("one or two lags")
+    whole, order = Window.partitionBy(entity), Window.partitionBy(entity).orderBy(period)
+    rows = df.select(entity, period, F.col(y).cast("double").alias("y0"), F.col(x).cast("double").alias("x0")).dropna(subset=[entity, "y0", "x0"])
+    rows = rows.withColumns({"y0": F.col("y0") - F.avg("y0").over(whole), "x0": F.col("x0") - F.avg("x0").over(whole)})
+    rows = rows.withColumns({f"{v}{k}": F.lag(f"{v}0", k).over(order) for v in "yx" for k in range(1, lags + 1)}).withColumn("one", F.lit(1.0))
+    tests = {k: ["one", *[f"y{i}" for i in range(1, k + 1)], *[f"x{i}" for i in range(1, k + 1)], "y0"] for k in range(1, lags + 1)}
+    products = []
+    for k, names in tests.items():
+        there = F.col(f"y{k}").isNotNull()
+        products.append(F.count(F.when(there, 1)).alias(f"n{k}"))
+        products += [F.sum(F.when(there, F.col(a) * F.col(b))).alias(f"t{k}_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+    sums = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"), *products).where(F.col("_rows") >= least)
+    found = []
+    for k, names in tests.items():
+        m = sums.select(entity, F.col(f"n{k}").alias("n"), *[F.col(f"t{k}_{a}_{a}").alias(f"d_{a}") for a in names],
+                        *[F.col(f"t{k}_{a}_{b}").alias(f"m_{a}_{b}") for i, a in enumerate(names) for b in names[i:]])
+        own, more = names[: k + 1], names[k + 1 : -1]
+        base = _eliminated(m, names, own, [entity, "n"]).withColumn("rss0", F.col("m_y0_y0"))
+        full = _eliminated(base, [c for c in names if c not in own], more, [entity, "n", "rss0", "d_one"])
+        free = (F.col("n") - 2 * k - 1).cast("double")
+        f = (F.col("rss0") - F.col("m_y0_y0")) / k / (F.col("m_y0_y0") / F.col("free"))
+        usable = (F.col("free") >= 1) & (F.col("m_y0_y0") > 1e-12 * F.col("d_y0"))
+        full = full.withColumn("free", free).where(usable).withColumn("f", f)
+        found.append(full.select(entity, "f", f_tail_column(F.col("f"), k, F.col("free")).alias("p"), F.lit(k).alias("lag"), "n"))
+    best = found[0] if lags == 1 else found[0].unionByName(found[1])
+    first = best.groupBy(entity).agg(F.min(F.struct("p", "lag", "f", "n")).alias("t"))
+    return first.select(entity, "t.f", "t.p", "t.lag", "t.n")

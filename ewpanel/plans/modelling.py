@@ -9,6 +9,7 @@ from ewpanel.functions import keys
 from ewpanel.operators import graph, metrics, models, panel, retrieval, stats
 from ewpanel.plans.candidates import candidate_age_windows, candidate_forward_labels
 from ewpanel.plans.graphs import hyper, smoothed, theme_docs
+from ewpanel.plans.panels import PANEL_SQL
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CONFLICT_SQL, conflict_events, table
 from ewpanel.streaming import feeds
@@ -53,22 +54,65 @@ def two_stage_severity(spark, d):
     return metrics.ranking(both.withColumn("year", F.year("issue_date")), ["year"])
 
 
-@query("granger_by_country")
+def _eliminate_sql(source, names, pivots, keep, tag):
+    """CTEs of Gaussian elimination of the pivots, one a step, on columns m_a_b; the last is {tag}."""
+    at = lambda a, b: f"m_{a}_{b}" if names.index(a) <= names.index(b) else f"m_{b}_{a}"
+    left, steps = list(names), []
+    for i, p in enumerate(pivots):
+        left.remove(p)
+        cells = ", ".join(f"{at(a, b)} - {at(p, a)} * {at(p, b)} / {at(p, p)} AS {at(a, b)}" for k, a in enumerate(left) for b in left[k:])
+        name = tag if i == len(pivots) - 1 else f"{tag}_{i}"
+        steps.append(f"{name} AS (SELECT {keep}, {cells} FROM {source})")
+        source = name
+    return ", ".join(steps)
+
+
+def _granger_sql():
+    tests = {k: ["one", *[f"y{i}" for i in range(1, k + 1)], *[f"x{i}" for i in range(1, k + 1)], "y0"] for k in (1, 2)}
+    parts = []
+    for k, names in tests.items():
+        cells = ", ".join(f"sum({a} * {b}) m_{a}_{b}" for i, a in enumerate(names) for b in names[i:])
+        parts.append(f"s{k} AS (SELECT country, count(*) n, {cells} FROM lg WHERE y{k} IS NOT NULL GROUP BY 1 HAVING any_value(np) >= 12)")
+        own, rest = names[: k + 1], names[k + 1 :]
+        parts.append(_eliminate_sql(f"s{k}", names, own, "country, n", f"o{k}"))
+        parts.append(f"b{k} AS (SELECT *, m_y0_y0 rss0 FROM o{k})")
+        parts.append(_eliminate_sql(f"b{k}", rest, rest[:-1], "country, n, rss0", f"u{k}"))
+        parts.append(f"g{k} AS (SELECT country, n, {k} AS lag, CAST(n - {2 * k + 1} AS double) fr, (rss0 - m_y0_y0) / {k} / (m_y0_y0 / (n - {2 * k + 1})) f FROM u{k} WHERE n > {2 * k + 1})")
+    tail = """t1 AS (SELECT *, CASE WHEN fr % 2 = 0 THEN 1 - sqrt(f / (fr + f)) * (SELECT sum(exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * (fr / (fr + f)) ** j) FROM range(CAST(fr / 2 AS bigint)) r(j))
+        ELSE 1 - 2 / pi() * (atan(sqrt(f / fr)) + sqrt(f / (fr + f)) * coalesce((SELECT sum(exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * (fr / (fr + f)) ** (j + 0.5)) FROM range(CAST((fr - 1) / 2 AS bigint)) r(j)), 0)) END p FROM g1),
+ t2 AS (SELECT *, (fr / (fr + 2 * f)) ** (fr / 2) p FROM g2), a AS (SELECT country, n, lag, f, p FROM t1 UNION ALL SELECT country, n, lag, f, p FROM t2)"""
+    return f"""WITH {PANEL_SQL}, c AS (SELECT country, week, n_events - avg(n_events) OVER k x0, deaths - avg(deaths) OVER k y0, count(*) OVER k np FROM p WINDOW k AS (PARTITION BY country)),
+ lg AS (SELECT *, 1.0 one, lag(y0) OVER o y1, lag(y0, 2) OVER o y2, lag(x0) OVER o x1, lag(x0, 2) OVER o x2 FROM c WINDOW o AS (PARTITION BY country ORDER BY week)),
+ {', '.join(parts)}, {tail}
+ SELECT country, round(f, 4) f, round(p, 6) p, lag, n FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY p, lag) k FROM a) WHERE k = 1"""
+
+
+@query("granger_by_country", _granger_sql())
 def granger_by_country(spark, d):
+    """Do the events of the weeks before help to predict deaths? The better of the tests with one and two lags, by country."""
     p = panel.dense(panel.fatality_panel(conflict_events(spark, d)), "country", "week", ["n_events", "deaths"])
-    return stats.ssr_granger(p, "country", "week", "deaths", "n_events", 2)
+    return stats.ssr_granger(p, "country", "week", "deaths", "n_events", 2).withColumns({"f": F.round("f", 4), "p": F.round("p", 6)})
+
+
+POOLED = ["y1", "y2", "x1", "y0"]
 
 
 @query("pooled_effects_ftest", f"""WITH {CONFLICT_SQL}, o AS (SELECT country, CAST(date_trunc('week', date_start) AS date) AS week, CAST(count(*) AS double) x, CAST(sum(best) AS double) y FROM fx_conflict GROUP BY 1, 2),
- l AS (SELECT country, y, lag(y) OVER w y1, lag(x) OVER w x1 FROM o WINDOW w AS (PARTITION BY country ORDER BY week)), c AS (SELECT country, y - avg(y) OVER k v, y1 - avg(y1) OVER k a, x1 - avg(x1) OVER k b FROM l WHERE y1 IS NOT NULL AND x1 IS NOT NULL WINDOW k AS (PARTITION BY country)),
- s AS (SELECT count(*) n, count(DISTINCT country) e, sum(v * v) vv, sum(v * a) va, sum(v * b) vb, sum(a * a) aa, sum(a * b) ab, sum(b * b) bb FROM c),
- r AS (SELECT *, vv - va * va / aa rss0, vv - (va * (va * bb - vb * ab) + vb * (vb * aa - va * ab)) / (aa * bb - ab * ab) rss1, (vb * aa - va * ab) / (aa * bb - ab * ab) coef FROM s)
- SELECT n, round((rss0 - rss1) / (rss1 / (n - e - 2)), 4) f, round(1 - rss1 / vv, 6) r2, round(coef, 6) coef FROM r""")
+ l AS (SELECT country, y y0, lag(y) OVER w y1, lag(y, 2) OVER w y2, lag(x) OVER w x1 FROM o WINDOW w AS (PARTITION BY country ORDER BY week)),
+ c AS (SELECT country, {', '.join(f'{v} - avg({v}) OVER k {v}' for v in POOLED)} FROM l WHERE y2 IS NOT NULL WINDOW k AS (PARTITION BY country)),
+ s AS (SELECT count(*) n, count(DISTINCT country) e, {', '.join(f'sum({a} * {b}) m_{a}_{b}' for i, a in enumerate(POOLED) for b in POOLED[i:])}, sum(y0 * y0) vv FROM c),
+ {_eliminate_sql('s', POOLED, POOLED[:2], 'n, e, vv', 'r')}, q AS (SELECT n, n - e - 3 fr, vv, m_y0_y0 rss0, m_y0_y0 - m_x1_y0 * m_x1_y0 / m_x1_x1 rss1, m_x1_y0 / m_x1_x1 coef FROM r),
+ z AS (SELECT *, CAST(fr AS double) b, (rss0 - rss1) / (rss1 / fr) f FROM q)
+ SELECT n, round(f, 4) f, round(CASE WHEN fr % 2 = 0 THEN 1 - sqrt(f / (b + f)) * (SELECT sum(exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * (b / (b + f)) ** j) FROM range(CAST(b / 2 AS bigint)) r(j))
+   ELSE 1 - 2 / pi() * (atan(sqrt(f / b)) + sqrt(f / (b + f)) * (SELECT sum(exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * (b / (b + f)) ** (j + 0.5)) FROM range(CAST((b - 1) / 2 AS bigint)) r(j))) END, 6) p,
+   round(1 - rss1 / vv, 6) r2, round(coef, 6) coef FROM z""")
 def pooled_effects_ftest(spark, d):
+    """Country effects and two own lags of deaths, with and without last week's events: F, p, share explained within countries."""
     o = conflict_events(spark, d).groupBy("country", keys.week_monday(F.col("date_start")).alias("week")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum("best").cast("double").alias("y"))
     w = Window.partitionBy("country").orderBy("week")
-    r = stats.pooled_effects_ftest(o.withColumns({"y1": F.lag("y").over(w), "x1": F.lag("x").over(w)}), "country", "y", ["y1"], "x1")
-    return spark.createDataFrame([(r["n"], round(r["f"], 4), round(r["r2"], 6), round(r["coef"], 6))], "n long, f double, r2 double, coef double")
+    r = stats.pooled_effects_ftest(o.withColumns({"y1": F.lag("y").over(w), "y2": F.lag("y", 2).over(w), "x1": F.lag("x").over(w)}), "country", "y", ["y1", "y2"], "x1")
+    cut = lambda v, k: None if v is None else round(v, k)
+    return spark.createDataFrame([(r["n"], cut(r["f"], 4), cut(r["p"], 6), cut(r["r2"], 6), cut(r["coef"], 6))], "n long, f double, p double, r2 double, coef double")
 
 
 @query("theme_svd_embedding")
