@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ewpanel.functions.staging import staged
 from ewpanel.functions.text import pairs_of
 
 
@@ -48,17 +53,71 @@ def incidence(nodes: DataFrame, node: str, edges: dict[str, list[str]], lookup:
     return whole.join(sizes, ["edge_type", "edge_id"])
 
 
+BLOCK, BUCKET = 256, 32768  # nodes whose unions one pass holds; positions of a bitmap
+
+
 def structural_features(inc: DataFrame) -> DataFrame:
     """Hyperedge degree, co-membership count (sum of the edges' other members) and mean degree of the distinct co-members of each node.
 
-    Co-members come from an equi-join on the edge; the incidence bounds an edge by the
-    weeks it reaches back.
+    No pairs of members are made, however large an edge is: see ``co_member_degrees``.
     """
     own = inc.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), (F.sum("edge_size") - F.count(F.lit(1))).alias("co_memberships"))
-    edge = inc.select("edge_type", "edge_id", "node_id")
-    pairs = edge.join(edge.withColumnRenamed("node_id", "other"), ["edge_type", "edge_id"]).where("node_id != other").select("node_id", "other").distinct()
-    mean = pairs.join(own.select(F.col("node_id").alias("other"), "degree"), "other").groupBy("node_id").agg(F.avg("degree").alias("mean_co_degree"))
-    return own.join(mean, "node_id")
+    numbered = staged(own.withColumn("_no", F.monotonically_increasing_id()))
+    sums = co_member_degrees(inc.select("edge_type", "edge_id", "node_id").join(numbered.select("node_id", "_no", "degree"), "node_id"), numbered.select("_no", "degree"))
+    others = F.col("_members") - 1  # a node is a member of its own edges
+    mean = F.when(others > 0, (F.col("_degrees") - F.col("degree")) / others)
+    return numbered.join(sums, "_no").select("node_id", "degree", "co_memberships", mean.alias("mean_co_degree"))
+
+
+def co_member_degrees(inc: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each node number _no: how many nodes its edges hold in all, each once, and the sum of their degrees.
+
+    An edge is a bitmap for each bucket of 32,768 node numbers it reaches, and meets each block of 256
+    nodes once with the list of its members there, so an edge of m members costs at most m / 256 bitmaps of 4 KB for each of its
+    buckets and not m * m pairs. Tasks stream these in the order of (block, bucket) and hold
+    the unions of one block: 1 MB. Degrees are bit slices, bitmaps of the nodes with a given bit in their degree,
+    so their sum over a union is a count of common bits.
+    """
+    edge = ["edge_type", "edge_id"]
+    at, bucket = F.col("_no") % BUCKET, F.shiftright("_no", 15).alias("_bucket")
+    bits = inc.groupBy(*edge, bucket).agg(F.bitmap_construct_agg(at).alias("_map"))
+    here = inc.groupBy(*edge, F.shiftright("_no", 8).alias("_block")).agg(F.collect_list((F.col("_no") % BLOCK).cast("int")).alias("_at"))  # at most 256
+    unions = here.join(bits, edge).select("_block", "_bucket", F.lit(-1).alias("_slice"), "_at", "_map")
+    slices = nodes.select("_no", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("degree"))).cast("int"))).alias("_slice"), "degree")
+    slices = slices.where(F.expr("shiftright(degree, _slice) % 2 = 1")).groupBy(bucket, "_slice").agg(F.bitmap_construct_agg(at).alias("_map"))
+    asked = unions.select("_block", "_bucket").distinct().join(slices, "_bucket").select("_block", "_bucket", "_slice", F.array().cast("array<int>").alias("_at"), "_map")
+    ordered = unions.unionByName(asked).repartition("_block", "_bucket").sortWithinPartitions("_block", "_bucket", "_slice")
+    parts = ordered.mapInArrow(_unions, "_no long, _members long, _degrees long")
+    return parts.groupBy("_no").agg(F.sum("_members").alias("_members"), F.sum("_degrees").alias("_degrees"))
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unions of the bitmaps of each node of a block in one bucket, counted; edges (slice -1) come before the slices."""
+    words = BUCKET // 64
+    held, key, members, degrees = np.zeros((BLOCK, words), np.uint64), None, None, None
+
+    def counted(key):
+        there = np.flatnonzero(members)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key[0] * BLOCK + there, members[there], degrees[there])], ["_no", "_members", "_degrees"])
+
+    for batch in batches:
+        columns = [batch.column(n) for n in ("_block", "_bucket", "_slice", "_at", "_map")]
+        for i in range(batch.num_rows):
+            block, bucket, cut, at, bitmap = (c[i] for c in columns)
+            if (block.as_py(), bucket.as_py()) != key:
+                if key:
+                    yield counted(key)
+                key, members, degrees = (block.as_py(), bucket.as_py()), None, np.zeros(BLOCK, np.int64)
+                held[:] = 0
+            row = np.frombuffer(bitmap.as_buffer(), np.uint64)
+            if cut.as_py() < 0:
+                held[at.values.to_numpy()] |= row
+                continue
+            if members is None:
+                members = np.bitwise_count(held).sum(1, dtype=np.int64)
+            degrees += np.bitwise_count(held & row).sum(1, dtype=np.int64) << cut.as_py()
+    if key:
+        yield counted(key)
 
 
 def propagate(inc: DataFrame, signal: DataFrame, values: list[str], symmetric: bool | None = True, by: list[str] | None = None) -> DataFrame:

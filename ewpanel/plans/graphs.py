@@ -72,11 +72,11 @@ def hypergraph_incidence(spark, d):
     return hyper(spark, d)
 
 
-@query("hypergraph_structure", f"""WITH {_inc_sql(EDGES[:4])}, g AS (SELECT node_id, count(*) AS degree, CAST(sum(edge_size) - count(*) AS bigint) co_memberships FROM inc GROUP BY 1),
+@query("hypergraph_structure", f"""WITH {INC_SQL}, g AS (SELECT node_id, count(*) AS degree, CAST(sum(edge_size) - count(*) AS bigint) co_memberships FROM inc GROUP BY 1),
  p AS (SELECT DISTINCT a.node_id, b.node_id other FROM inc a JOIN inc b USING (edge_type, edge_id) WHERE a.node_id <> b.node_id), m AS (SELECT p.node_id, avg(g.degree) m FROM p JOIN g ON g.node_id = p.other GROUP BY 1)
  SELECT node_id, degree, co_memberships, round(m, 6) mean_co_degree FROM g JOIN m USING (node_id)""")
 def hypergraph_structure(spark, d):
-    return graph.structural_features(hyper(spark, d, EDGES[:4])).withColumn("mean_co_degree", F.round("mean_co_degree", 6))
+    return graph.structural_features(hyper(spark, d)).withColumn("mean_co_degree", F.round("mean_co_degree", 6))
 
 
 @query("hypergraph_propagation", f"""WITH {INC_SQL}, deg AS (SELECT node_id, count(*) g FROM inc GROUP BY 1), x AS (SELECT node_id, CAST(length(node_id) % 5 + 1 AS double) x FROM deg),

@@ -208,7 +208,7 @@ def walk_forward_signal(spark, d):
 @query("structural_classifier")
 def structural_classifier(spark, d):
     """A classifier of hypergraph degrees and smoothed signals of country-weeks, fitted once on earlier weeks; severe weeks ranked by year."""
-    x = smoothed(spark, d).join(graph.structural_features(hyper(spark, d, ("country", "region_week", "week", "actor"))), "node_id").cache()  # a row for each country-week, read by every fit
+    x = smoothed(spark, d).join(graph.structural_features(hyper(spark, d)), "node_id").cache()  # a row for each country-week, read by every fit
     features = ["gx", "ggx", "degree", "co_memberships", "mean_co_degree"]
     scored = models.fit_score(x.where("week < '1999-01-04'"), x.where("week >= '1999-01-04'"), features, "y", ("boosted",), rounds=5)
     return metrics.ranking(scored.select(F.substring("week", 1, 4).alias("year"), "prob", F.col("y").cast("long").alias("actual")), ["year"])
