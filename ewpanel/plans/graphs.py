@@ -147,10 +147,15 @@ def theme_tfidf(spark, d):
     """log1p(count) * ln(N / df) over country-weeks, of themes that occur three times at least."""
     e = country_weeks(spark, d).select(F.col("id").alias("doc"), "node").join(theme_docs(spark, d), "doc")
     t = e.select("node", F.explode("themes").alias("theme")).groupBy("node", "theme").agg(F.count(F.lit(1)).alias("n"))
-    df = t.groupBy("theme").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).where("total >= 3")
-    kept = t.join(df, "theme")
+    return tfidf(t).withColumn("weight", F.round("weight", 6))
+
+
+def tfidf(counts, least=3):
+    """(node, theme, weight) from (node, theme, n)."""
+    df = counts.groupBy("theme").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("total") >= least)
+    kept = counts.join(df, "theme")
     nodes = kept.agg(F.countDistinct("node").alias("nodes"))
-    return kept.crossJoin(F.broadcast(nodes)).select("node", "theme", F.round(F.log1p("n") * F.ln(F.col("nodes") / F.col("df")), 6).alias("weight"))  # one row
+    return kept.crossJoin(F.broadcast(nodes)).select("node", "theme", (F.log1p("n") * F.ln(F.col("nodes") / F.col("df"))).alias("weight"))  # one row
 
 
 @query("weighted_mean_embedding", """WITH v AS (SELECT label, CAST(1 + vec_id % 3 AS double) w, unnest(embedding) x, generate_subscripts(embedding, 1) - 1 i FROM embeddings) SELECT label, CAST(i AS int) i, round(sum(CAST(x AS double) * w) / sum(w), 6) x FROM v GROUP BY 1, 2""")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys
-from ewpanel.operators import graph, metrics, models, panel, retrieval, stats
+from ewpanel.functions.staging import staged
+from ewpanel.operators import embedding, graph, metrics, models, panel, retrieval, stats
 from ewpanel.plans.candidates import candidate_age_windows, candidate_forward_labels
-from ewpanel.plans.graphs import hyper, smoothed, theme_docs
+from ewpanel.plans.graphs import DOCS_SQL, hyper, smoothed, tfidf, theme_docs, theme_frequency
 from ewpanel.plans.panels import PANEL_SQL
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CONFLICT_SQL, conflict_events, table
@@ -115,31 +116,51 @@ def pooled_effects_ftest(spark, d):
     return spark.createDataFrame([(r["n"], cut(r["f"], 4), cut(r["p"], 6), cut(r["r2"], 6), cut(r["coef"], 6))], "n long, f double, p double, r2 double, coef double")
 
 
+def theme_vectors(spark, d):
+    """U * sqrt(S) of the theme PPMI matrix, at most twelve components and two fewer than themes."""
+    edges = graph.ppmi(graph.co_occurrence(theme_docs(spark, d), "themes"))
+    n = edges.select("theme_a").distinct().count()
+    if n < 3:
+        return spark.createDataFrame([], "key string, vector array<double>")
+    u, _, s = embedding.truncated_svd(edges, "theme_a", "theme_b", "ppmi", min(12, n - 2))
+    return embedding.scaled(u, [x**0.5 for x in s])
+
+
 @query("theme_svd_embedding")
 def theme_svd_embedding(spark, d):
-    """Truncated SVD of the theme PPMI matrix: U * sqrt(S), signs set so that the largest component is positive.
+    """Truncated SVD of the theme PPMI matrix: U * sqrt(S), signs set so that the largest component is positive."""
+    return theme_vectors(spark, d).withColumnRenamed("key", "theme")
+
 
-    Themes get their place by a window over the vocabulary alone, whose size the matrix
-    has anyway; rows join it and stay distributed.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+@query("country_week_theme_vectors")
+def country_week_theme_vectors(spark, d):
+    """Theme rows joined with the theme vectors: count-weighted mean by country and week."""
+    return embedding.weighted_means(theme_frequency(spark, d), theme_vectors(spark, d), ["country", "week"], "theme", "n")
 
+
+@query("country_week_theme_profile", f"""WITH {DOCS_SQL}, f AS (SELECT n_name country, CAST(date_trunc('week', o_orderdate) AS date) AS week, th theme, count(*) n FROM (SELECT doc, unnest(themes) th FROM docs) JOIN orders ON o_orderkey = doc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+ t AS (SELECT doc, unnest(themes) th FROM docs), e AS (SELECT a.th a, b.th b, count(*) w FROM t a JOIN t b ON a.doc = b.doc AND a.th < b.th GROUP BY 1, 2 HAVING count(*) >= 2), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
+ r AS (SELECT a, greatest(sum(w), 1) r FROM s GROUP BY 1), v AS (SELECT * FROM (SELECT s.a, s.b, ln(w * (SELECT sum(w) FROM s) / (r1.r * r2.r) + 1e-9) p FROM s JOIN r r1 ON r1.a = s.a JOIN r r2 ON r2.a = s.b) WHERE p > 0),
+ k AS (SELECT * FROM f WHERE theme IN (SELECT a FROM v)), g AS (SELECT country, week, sum(n) total FROM k GROUP BY 1, 2)
+ SELECT country, week, b theme_b, round(sum(n * p) / any_value(total), 6) x FROM k JOIN v ON v.a = k.theme JOIN g USING (country, week) GROUP BY 1, 2, 3""")
+def country_week_theme_profile(spark, d):
+    """The same mean of the whole PPMI rows, before any component is cut: how near each theme is to what a country-week writes about."""
     edges = graph.ppmi(graph.co_occurrence(theme_docs(spark, d), "themes"))
-    names = edges.select(F.col("theme_a").alias("theme")).distinct().withColumn("i", (F.row_number().over(Window.orderBy("theme")) - 1).cast("long"))
-    n = names.count()
-    k = min(12, n - 2)
+    m = embedding.weighted_row_means(theme_frequency(spark, d), edges, ["country", "week"], "theme", "n", "theme_a", "theme_b", "ppmi")
+    return m.withColumn("x", F.round("x", 6))
+
+
+@query("theme_hypergraph_embedding")
+def theme_hypergraph_embedding(spark, d):
+    """Themes by country-weeks, log1p(count) * ln(N / df), themes of three occurrences at least: U * S of twelve components, then the count-weighted mean by country and week."""
+    f = theme_frequency(spark, d).withColumn("node", F.concat_ws("|", "country", F.col("week").cast("string")))
+    weights = staged(tfidf(f))
+    n = weights.select("theme").distinct().count()
+    k = min(12, min(n, weights.select("node").distinct().count()) - 1)
     if k < 1:
-        return spark.createDataFrame([], "theme string, vector array<double>")
-    placed = edges.join(names.select(F.col("theme").alias("theme_a"), "i"), "theme_a").join(names.select(F.col("theme").alias("theme_b"), F.col("i").alias("j")), "theme_b")
-    rows = placed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "ppmi"))).alias("v")).select("i", F.col("v.j").alias("at"), F.col("v.ppmi").alias("x"))
-    svd = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.i, Vectors.sparse(n, r.at, r.x)))).computeSVD(k, True)
-    u = spark.createDataFrame(svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())), "i long, v array<double>")
-    scale = F.array(*[F.lit(float(s) ** 0.5) for s in svd.s])
-    each = u.select("i", F.posexplode(F.zip_with("v", scale, lambda x, s: x * s)).alias("c", "x"))
-    peak = each.groupBy("c").agg(F.max_by(F.signum("x"), F.abs("x")).alias("sign"))
-    flat = each.join(peak, "c").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", (F.col("x") * F.col("sign")).alias("x")))).alias("p"))
-    return flat.join(names, "i").select("theme", F.col("p.x").alias("vector"))
+        return spark.createDataFrame([], "country string, week date, i int, x double")
+    u, _, s = embedding.truncated_svd(weights, "theme", "node", "weight", k)
+    return embedding.weighted_means(f, embedding.scaled(u, s), ["country", "week"], "theme", "n")
 
 
 def _spread_sql():
