@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys, text
+from ewpanel.functions.staging import shared_folder
 from ewpanel.operators import encode, metrics, ranks, retrieval
 from ewpanel.plans.candidates import CAND_SQL, candidate_age_windows, grid_events
 from ewpanel.plans.registry import query
-from ewpanel.sources.fixtures import CONFLICT_SQL, LEDGER_SQL, conflict_events, ledger, table
+from ewpanel.sources import readers
+from ewpanel.sources.fixtures import CODED_SQL, CONFLICT_SQL, LEDGER_SQL, coded_events, conflict_events, ledger, table
 
 WEEK = "CAST(date_trunc('week', {}) AS date)"
 SPLIT = "2000-07-03"
@@ -188,3 +190,24 @@ def cell_prompts(spark, d):
 def summary_bundle(spark, d):
     m = metrics.bundle(ledger(spark, d), ["entity"], "id")
     return m.select("entity", "n", "n_pos", *[F.round(c, 6).alias(c) for c in ("brier", "precision", "recall", "average_precision")])
+
+
+EXPORT = "event_id bigint, day date, country string, actor1 string, actor2 string, event_code string, quad_class int, goldstein int, mentions int"
+_FAULT = "CASE WHEN event_id % 101 = 0 THEN 'blank' WHEN event_id % 53 = 0 THEN 'width' WHEN event_id % 37 = 0 THEN 'value' END"
+
+
+@query("export_lines_read_back", f"""WITH {CODED_SQL}, k AS (SELECT *, {_FAULT} fault FROM fx_coded)
+ SELECT CASE WHEN fault IS NULL THEN country END country, fault, count(*) n, count(CASE WHEN fault IS NULL THEN actor1 END) n_actor1, CAST(sum(CASE WHEN fault IS NULL THEN mentions END) AS bigint) mentions,
+  max(CASE WHEN fault IS NULL THEN "day" END) last_day FROM k GROUP BY 1, 2""")
+def export_lines_read_back(spark, d):
+    """Coded events written as tab-separated lines, some of them blank, cut short or with a word for a number, and read back: good lines by country, the others by fault."""
+    e = coded_events(spark, d).withColumn("fault", F.expr(_FAULT))
+    fields = [f.split()[0] for f in EXPORT.split(", ")]
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    whole, short = F.concat_ws("\t", *map(text_of, fields)), F.concat_ws("\t", *map(text_of, fields[:-2]))
+    wrong = F.concat_ws("\t", *map(text_of, fields[:-1]), F.lit("many"))
+    line = F.when(F.col("fault") == "blank", "").when(F.col("fault") == "width", short).when(F.col("fault") == "value", wrong).otherwise(whole)
+    folder = shared_folder(spark, "export-lines")
+    e.select(line.alias("value")).write.text(folder)
+    read = readers.lines_apart(spark.read.text(folder), EXPORT)
+    return read.groupBy("country", "fault").agg(F.count(F.lit(1)).alias("n"), F.count("actor1").alias("n_actor1"), F.sum("mentions").alias("mentions"), F.max("day").alias("last_day"))

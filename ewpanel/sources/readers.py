@@ -118,3 +118,27 @@ def event_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
     """Calendar of dated events by country; rows without a valid date are dropped."""
     df = spark.read.schema("country string, event_date string, event_type string, source string").csv(path, header=True)
     return df.withColumn("event_date", F.col("event_date").try_cast("date")).dropna(subset=["event_date"])
+
+
+def lines_apart(lines: DataFrame, schema: str, separator: str = "\t", quote: str = "") -> DataFrame:
+    """Lines (column value) parsed by ``schema`` with none dropped: its columns, fault and line.
+
+    fault is null for a good line, else 'blank' (nothing but white space, or null), 'width' (another number of fields) or
+    'value' (a field that isn't of its type); line is the whole text of a faulty one, whose columns are all null, so no half
+    of it takes part in sums by accident. An empty field is null. Without ``quote`` a field can't hold
+    the separator; with it, fields are counted by the parser, and 'width' is left to what it calls malformed ('value').
+    """
+    names = [f.name for f in lines.sparkSession.createDataFrame([], schema).schema]
+    options = {"sep": separator, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": quote}
+    read = lines.select("value", F.from_csv("value", f"{schema}, _corrupt string", options).alias("_r"))
+    blank = F.col("value").isNull() | (F.trim(F.col("value")) == "") & ~F.col("value").contains(separator)
+    width = F.lit(False) if quote else F.size(F.split("value", f"\\Q{separator}\\E", -1)) != len(names)
+    fault = F.when(blank, "blank").when(width, "width").when(F.col("_r._corrupt").isNotNull(), "value")
+    read = read.withColumn("_fault", fault)
+    good = F.col("_fault").isNull()
+    return read.select(*[F.when(good, F.col("_r")[n]).alias(n) for n in names], F.col("_fault").alias("fault"), F.when(~good, F.col("value")).alias("line"))
+
+
+def faults(parsed: DataFrame) -> DataFrame:
+    """How many lines are good (fault null) or have which fault, with the smallest such line as an example."""
+    return parsed.groupBy("fault").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("example"))
