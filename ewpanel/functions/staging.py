@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete ``folder`` with all in it, on whichever file system it is; nothing happens where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder of the cluster (spark.checkpoint.dir), its lineage cut.
 
