@@ -33,20 +33,22 @@ def _family(spark, d, name):
 WIDE_SQL = f"(SELECT *, CAST(year(issue_date) AS bigint) issue_year FROM {_family_sql(BASE)}" + "".join(f" LEFT JOIN {_family_sql(f)} USING (priogrid_gid, issue_date)" for f in FAMILIES) + ")"
 
 
-def wide_table(spark, d) -> str:
-    """Write the wide table, a folder for each year of issue; its path. The families' own tables go."""
+def wide_table(spark, d):
+    """Write the wide table, a folder for each year of issue; its path and schema. The families' own tables go."""
     path = shared_folder(spark, "wide")
     with FamilyStore(spark, KEYS, "issue_year") as store:
         for name in [BASE, *FAMILIES]:
             store.put(name, _family(spark, d, name).withColumn("issue_year", F.year("issue_date").cast("long")))
-        replace_partitions(store.merged(BASE), path, ["issue_year"])
-    return path
+        merged = store.merged(BASE)
+        replace_partitions(merged, path, ["issue_year"])
+        return path, merged.schema
 
 
 @query("wide_candidates", f"SELECT * FROM {WIDE_SQL}")
 def wide_candidates(spark, d):
     """Every candidate with the features of all eight families, written by year and read back."""
-    return spark.read.parquet(wide_table(spark, d)).withColumn("issue_year", F.col("issue_year").cast("long"))
+    path, schema = wide_table(spark, d)
+    return spark.read.schema(schema).parquet(path)  # a table without rows has no files to take a schema from
 
 
 _BLOCKS = {"labels": "label_10", "actors": "actor_diversity", "rings": "ring1_30d", "hawkes": "hawkes_14", "hawkes_ring1": "hawkes_ring1_14", "cusum": "cusum_up", "diffusion": "hop_1"}
