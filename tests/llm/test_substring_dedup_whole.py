@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ewpanel.llm.substring_dedup import runs, substring_dedup
 
 WORDS = [f"w{i}x" for i in range(2000)]
@@ -50,3 +52,17 @@ def test_odd_rows_whole(spark, odd_docs):
     assert len(rows) == odd_docs.count() and not any(r.n_removed for r in rows)
     assert {(r.text, r.n_sentences) for r in rows if r.doc_id in (3, 4)} == {(None, 0), ("", 1)}
     assert substring_dedup(odd_docs.limit(0), whole=True).count() == 0
+
+
+def test_sentences_are_those_of_the_plain_pattern(spark):
+    """The pattern that passes over what can't end a sentence cuts as the one that tries every end at every character."""
+    from ewpanel.llm import substring_dedup as module
+
+    plain = rf"(?s).*?(?:[.!?]{module.CLOSING}{module.BLANK}+|{module.STOPS}+{module.CLOSING}{module.BLANK}*|\n{module.BLANK}*)|.+"
+    rng = random.Random(5)
+    signs = ["a", "é", "ж", "語", "ك", " ", "\u00a0", "\u3000", "\x85", "\t", "\n", "\r", ".", "!", "?", "…", "。", "！", "؟", "।", "։", "｡", ")", "”", "»", "'", '"', "*", "_", "3", "-", "\U0001f600"]
+    texts = ["", ".", "\n", "...", "a" * 100_000, "." * 100_000, "。" * 100_000, "3.14 " * 30_000] + ["".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    want = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(plain), F.lit(0)))
+    got = df.select((module.sentences(F.col("text"), True) == want).alias("same"), (F.array_join(module.sentences(F.col("text"), True), "") == F.col("text")).alias("whole"))
+    assert got.where("not same or not whole").count() == 0
