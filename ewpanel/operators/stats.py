@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r of two columns as an aggregate; NaN where either is constant (``corr`` divides by zero there)."""
+    x, y = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread.isNotNull(), F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan"))))
+
+
 def pooled_effects_ftest(df: DataFrame, entity: str, y: str, own: list[str], candidate: str, least: int = 20) -> dict[str, float | None]:
     """F-test of one more regressor in a model with entity effects.
 

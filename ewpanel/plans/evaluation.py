@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ewpanel.operators import folds, metrics, ranks
+from ewpanel.operators import folds, metrics, ranks, stats
 from ewpanel.operators.windows import best_so_far
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import LEDGER_SQL, ledger
@@ -112,7 +112,7 @@ def score_distribution(spark, d):
 
 @query("correlations", f"""WITH {LEDGER_SQL} SELECT entity, round(corr(prob, actual), 6) r FROM fx_ledger GROUP BY 1""")
 def correlations(spark, d):
-    return ledger(spark, d).groupBy("entity").agg(F.round(F.corr("prob", F.col("actual").cast("double")), 6).alias("r"))
+    return ledger(spark, d).groupBy("entity").agg(F.round(stats.correlation("prob", "actual"), 6).alias("r"))
 
 
 @query("case_studies", f"""WITH {LEDGER_SQL}, b AS (SELECT *, CASE WHEN actual = 1 AND prob >= 0.5 THEN 'hit' WHEN actual = 1 THEN 'miss' WHEN prob >= 0.65 THEN 'false_alarm' END bucket FROM fx_ledger),

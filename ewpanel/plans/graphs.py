@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys, text
-from ewpanel.operators import graph, retrieval
+from ewpanel.operators import graph, retrieval, stats
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CODED_SQL, CONFLICT_SQL, coded_events, conflict_events, table
 
@@ -119,7 +119,7 @@ def hypergraph_edge_ablation(spark, d):
     inc = hyper(spark, d).withColumn("omitted", F.explode(F.array(*[F.lit(k) for k in ("none", *EDGES)]))).where("edge_type != omitted")
     own = node_signal(spark, d)
     p = graph.propagate(inc, own.select("node_id", "x"), ["x"], None, ["omitted"]).join(own.select("node_id", F.col("y").cast("double").alias("y")), "node_id")
-    return p.groupBy("omitted").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x_symmetric", "y"), 6).alias("r_symmetric"), F.round(F.corr("x_asymmetric", "y"), 6).alias("r_asymmetric"))
+    return p.groupBy("omitted").agg(F.count(F.lit(1)).alias("n"), F.round(stats.correlation("x_symmetric", "y"), 6).alias("r_symmetric"), F.round(stats.correlation("x_asymmetric", "y"), 6).alias("r_asymmetric"))
 
 
 @query("theme_co_occurrence", f"""WITH {DOCS_SQL}, t AS (SELECT doc, unnest(themes) th FROM docs) SELECT a.th theme_a, b.th theme_b, count(*) weight FROM t a JOIN t b ON a.doc = b.doc AND a.th < b.th GROUP BY 1, 2 HAVING count(*) >= 2""")
