@@ -25,7 +25,8 @@ def fatality_panel(events: DataFrame, entity: str = "country", day: str = "date_
 def coded_panel(events: DataFrame, entity: str = "country", day: str = "day") -> DataFrame:
     """Coded-event weeks: class and root counts, means, actors over both sides and ordered pairs.
 
-    A null tone counts as not negative; n_coded counts rows with a class only.
+    A null tone counts as not negative; n_coded counts rows with a class only. Counts are combined before they move; the
+    distinct pairs of actors are shuffled on their own, without them, and the distinct actors are taken from these pairs.
     """
     root = F.substring("event_code", 1, 2)
     keyed = events.withColumn("week", week_monday(F.col(day)))
@@ -33,11 +34,13 @@ def coded_panel(events: DataFrame, entity: str = "country", day: str = "day") ->
         F.count(F.lit(1)).alias("n_events"), F.count("quad_class").alias("n_coded"), *[F.count_if(F.col("quad_class") == q).alias(f"n_quad{q}") for q in (1, 2, 3, 4)],
         F.count_if(root.isin("18", "19", "20")).alias("n_severe"), F.count_if(root.isin("14", "17")).alias("n_coerce_protest"),
         F.avg("goldstein").alias("mean_goldstein"), F.avg("tone").alias("mean_tone"), F.avg(F.when(F.col("tone") < 0, 1.0).otherwise(0.0)).alias("tone_neg_share"),
-        F.sum("mentions").alias("mentions"),
-        F.countDistinct(F.concat_ws("|", F.coalesce("actor1", F.lit("")), F.coalesce("actor2", F.lit("")))).alias("n_actor_pairs"))
-    sides = keyed.select(entity, "week", F.explode(F.array("actor1", "actor2")).alias("actor")).where("actor is not null")
-    actors = sides.groupBy(entity, "week").agg(F.countDistinct("actor").alias("distinct_actors"))
-    return counts.join(actors, [entity, "week"], "left").withColumn("distinct_actors", F.coalesce("distinct_actors", F.lit(0)))
+        F.sum("mentions").alias("mentions"))
+    side = lambda c: [F.coalesce(c, F.lit("")).alias(c), F.col(c).isNotNull().alias(f"_{c}")]
+    pairs = keyed.select(entity, "week", *side("actor1"), *side("actor2")).groupBy(entity, "week", "actor1", "actor2").agg(F.bool_or("_actor1").alias("_actor1"), F.bool_or("_actor2").alias("_actor2"))
+    who = pairs.select(entity, "week", F.explode(F.array(*[F.when(F.col(f"_{c}"), F.col(c)) for c in ("actor1", "actor2")])).alias("actor"))
+    actors = who.where("actor is not null").distinct().groupBy(entity, "week").agg(F.count(F.lit(1)).alias("distinct_actors"))
+    out = counts.join(pairs.groupBy(entity, "week").agg(F.count(F.lit(1)).alias("n_actor_pairs")), [entity, "week"]).join(actors, [entity, "week"], "left")
+    return out.withColumn("distinct_actors", F.coalesce("distinct_actors", F.lit(0)))
 
 
 def dense(panel: DataFrame, entity: str, period: str, zero: list[str]) -> DataFrame:

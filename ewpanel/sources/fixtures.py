@@ -33,10 +33,11 @@ def conflict_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coded_events(spark: SparkSession, d: str) -> DataFrame:
-    """Coded events: one line item is one event."""
+    """Coded events: one line item is one event. Orders meet their places first, so lines are shuffled once."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_partkey", "l_discount", "l_tax", "l_quantity")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(_places(spark, d), F.col("o_custkey") == F.col("c_custkey"))
+    placed = orders.join(_places(spark, d), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "country", "region")
+    joined = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.expr("l_orderkey * 10 + l_linenumber").alias("event_id"), F.to_date("l_shipdate").alias("day"), "country", "region",
         F.expr("case when l_suppkey % 11 = 0 then null else 'S' || l_suppkey end").alias("actor1"), F.expr("'P' || (l_partkey % 60)").alias("actor2"),
