@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ewpanel.functions import keys, text
+from ewpanel.functions.staging import staged
 from ewpanel.operators import joins, panel, ranks
 from ewpanel.plans.registry import query
 from ewpanel.sources.fixtures import CODED_SQL, CONFLICT_SQL, LEDGER_SQL, coded_events, conflict_events, ledger, table
@@ -247,6 +248,7 @@ def historical_rate(spark, d):
  SELECT country, week, round(coalesce(x, m), 6) x_mean, round(coalesce(x, md), 6) x_median, CAST(x IS NOT NULL AS int) covered, round(coalesce(x, 0), 6) x_zero FROM g, s""")
 def imputation(spark, d):
     g = coded_events(spark, d).groupBy("country", keys.week_monday(F.col("day")).alias("week")).agg(F.avg(F.when((F.col("quad_class") == 4) & (F.col("goldstein") < -5), F.col("tone"))).alias("x"))
+    g = staged(g)  # a row for each country-week, read for the mean, the median and the result
     s = g.agg(F.avg("x").alias("m")).crossJoin(ranks.quantiles(g, [], "x", [0.5]).withColumnRenamed("q0", "md"))  # one row each
     return g.crossJoin(F.broadcast(s)).select("country", "week", F.round(F.coalesce("x", "m"), 6).alias("x_mean"), F.round(F.coalesce("x", "md"), 6).alias("x_median"), F.col("x").isNotNull().cast("int").alias("covered"), F.round(F.coalesce("x", F.lit(0.0)), 6).alias("x_zero"))  # one row
 

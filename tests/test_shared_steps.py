@@ -13,6 +13,10 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_imputation_reads_its_weeks_once(spark):
+    assert "Relation" not in optimized(QUERIES["imputation"](spark, SF))
+
+
 def test_lines_are_shuffled_for_one_join(spark):
     plan = optimized(coded_events(spark, SF)).splitlines()
     at = next(i for i, line in enumerate(plan) if "l_shipdate" in line and "Relation" in line)
