@@ -19,7 +19,9 @@ FEATURES = ["n_events", "deaths", "n_events_lag1", "deaths_lag1", "n_events_lag2
 
 
 def labelled_panel(spark, d):
-    return panel.fatality_escalation(conflict_events(spark, d)).withColumn("actual", F.col("label_1"))
+    """The panel that the fits read again and again: staged, a row for each country-week."""
+    p = panel.fatality_escalation(conflict_events(spark, d))
+    return staged(p.select("country", "week", *FEATURES, F.col("label_1").alias("actual")))
 
 
 @query("ensemble_frozen_threshold")
@@ -46,7 +48,7 @@ def out_of_fold_ranking(spark, d):
 @query("two_stage_severity")
 def two_stage_severity(spark, d):
     """P(event) * P(severe | event) on candidate cells, each stage fitted on issues before 2000."""
-    f = candidate_age_windows(spark, d).join(candidate_forward_labels(spark, d), ["priogrid_gid", "issue_date"])
+    f = labelled_cells(spark, d)
     features = ["count_30d", "count_90d", "count_365d", "n_hist", "momentum"]
     past, later = f.where("issue_date < date '2000-01-03'"), f.where("issue_date >= date '2000-01-17'")
     one = models.fit_score(past, later, features, "label_14").select("priogrid_gid", "issue_date", F.col("prob").alias("p_event"), "severe_14")
@@ -191,7 +193,8 @@ CELL = ["count_30d", "count_90d", "count_365d", "n_hist", "momentum"]
 
 
 def labelled_cells(spark, d):
-    return candidate_age_windows(spark, d).join(candidate_forward_labels(spark, d), ["priogrid_gid", "issue_date"])
+    """Candidate cells with their windows and labels, staged for the fits."""
+    return staged(candidate_age_windows(spark, d).join(candidate_forward_labels(spark, d), ["priogrid_gid", "issue_date"]))
 
 
 @query("multi_split_ensemble")

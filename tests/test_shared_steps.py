@@ -13,6 +13,11 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fits_read_a_staged_panel(spark):
+    for staged in (labelled_panel(spark, SF), labelled_cells(spark, SF.replace("0.001", "0.01"))):
+        assert "Join" not in optimized(staged) and "Relation" not in optimized(staged)
+
+
 def test_imputation_reads_its_weeks_once(spark):
     assert "Relation" not in optimized(QUERIES["imputation"](spark, SF))
 
