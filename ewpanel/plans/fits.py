@@ -26,11 +26,14 @@ NAMES = [f"{n}_{c}" for c in (0, 1) for n in _TERMS]
 
 
 def solved_sql(source: str, keys: str, penalty: str = "1") -> str:
-    """Balanced ridge (standardised) of three features by Cramer's rule, for each row of sums."""
+    """Balanced ridge (standardised) of three features by Cramer's rule, for each row of sums; a constant feature has coefficient 0."""
     both = lambda n: f"(w0 * {n}_0 + w1 * {n}_1) / tot"
+    flat = lambda *a: " OR ".join(f"f{i}" for i in dict.fromkeys(a))
     return f"""q0 AS (SELECT *, n_0 + n_1 tot, (n_0 + n_1) / (2 * n_0) w0, (n_0 + n_1) / (2 * n_1) w1 FROM {source} WHERE n_0 > 0 AND n_1 > 0),
  q1 AS (SELECT *, w1 * n_1 / tot ym, {', '.join(f'{both(f"s{i}")} m{i}' for i in range(3))} FROM q0),
- q2 AS (SELECT *, {', '.join(f'{both(f"p{i}{j}")} - m{i} * m{j} c{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'w1 * s{i}_1 / tot - m{i} * ym r{i}' for i in range(3))} FROM q1),
+ qa AS (SELECT *, {', '.join(f'{both(f"p{i}{j}")} - m{i} * m{j} c{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'w1 * s{i}_1 / tot - m{i} * ym r{i}' for i in range(3))} FROM q1),
+ qb AS (SELECT *, {', '.join(f'c{i}{i} <= 1e-12 * greatest({both(f"p{i}{i}")}, 1e-300) f{i}' for i in range(3))} FROM qa),
+ q2 AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {flat(i, j)} THEN {1 if i == j else 0} ELSE c{i}{j} END AS c{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'CASE WHEN f{i} THEN 0 ELSE r{i} END AS r{i}' for i in range(3))}) FROM qb),
  q3 AS (SELECT * REPLACE ({', '.join(f'c{i}{i} * (1 + {penalty} / tot) AS c{i}{i}' for i in range(3))}) FROM q2),
  q4 AS (SELECT *, c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c02 * c12) + c02 * (c01 * c12 - c02 * c11) det FROM q3),
  q5 AS (SELECT *, (r0 * (c11 * c22 - c12 * c12) - c01 * (r1 * c22 - c12 * r2) + c02 * (r1 * c12 - c11 * r2)) / det b0, (c00 * (r1 * c22 - c12 * r2) - r0 * (c01 * c22 - c02 * c12) + c02 * (c01 * r2 - r1 * c02)) / det b1,
