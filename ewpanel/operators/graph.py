@@ -179,16 +179,17 @@ def spread_labels(edges: DataFrame, nodes: DataFrame, alpha: float = 0.2, rounds
     ``nodes`` has node and known (0, 1 or null). Each round F = alpha * S F + (1 - alpha) * Y
     with S the symmetrically normalised adjacency; at the end the two classes' shares,
     the rate of known labels where neither reaches a node. With fewer than ten known
-    labels or one class the rate stands for all.
+    labels or one class the rate stands for all. The edges are computed once, whatever they come from.
     """
     known, pos = nodes.agg(F.count("known"), F.sum("known")).first()
     rate = float(pos or 0) / known if known else 0.0
     if known < 10 or not 0 < pos < known:
         return nodes.select("node", F.lit(rate).alias("prob"))
-    both = edges.select("u", "w").union(edges.select("w", "u")).where("u != w").distinct()
+    edges = staged(edges.select("u", "w"))
+    both = edges.union(edges.select("w", "u")).where("u != w").distinct()
     degree = both.groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("deg"))
     step = both.join(degree, "u").join(degree.select(F.col("u").alias("w"), F.col("deg").alias("deg_w")), "w")
-    step = step.select("u", "w", (alpha / F.sqrt(F.col("deg") * F.col("deg_w"))).alias("s"))
+    step = staged(step.select("u", "w", (alpha / F.sqrt(F.col("deg") * F.col("deg_w"))).alias("s")))  # read by every round
     start = nodes.select(F.col("node").alias("u"), *[F.when(F.col("known") == c, 1 - alpha).otherwise(0.0).alias(f"y{c}") for c in (0, 1)])
     state = start.select("u", F.col("y0").alias("f0"), F.col("y1").alias("f1"))
     for _ in range(rounds):

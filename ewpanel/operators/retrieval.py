@@ -54,18 +54,28 @@ def recency_blend(similarity: Column, recency: Column, weight: float) -> Column:
     return (1 - weight) * similarity + weight * recency
 
 
-def _compare(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
-    """For each query point the k best (id, squared distance) among the members' ids, ties to the smaller id."""
+def _compare(queries: pd.DataFrame, members: pd.DataFrame, k: int, at_once: int = 256) -> pd.DataFrame:
+    """For each query point the k best (id, squared distance) among the members' ids, ties to the smaller id.
+
+    A matrix product finds the members that may be among the k best (its error is far below the slack), exact distances
+    decide. A column ``bound`` of the queries leaves out what is farther.
+    """
     out = []
     if len(queries) and len(members):
         y, first = np.stack(members["v"]), members["p"].to_numpy()
-        ids = members["ids"].tolist()
-        for p, v in zip(queries["p"].tolist(), queries["v"]):
-            d = np.round(((y - v) ** 2).sum(1), 9)
-            near = np.arange(len(d)) if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            near = near[np.lexsort((first[near], d[near]))][:k]  # a point after k others gives none of the k best
-            best = sorted((d[i], w) for i in near for w in ids[i])[:k]
-            out += [(p, w, x) for x, w in best]
+        ids, yy = members["ids"].tolist(), (y**2).sum(1)
+        points, bounds = queries["p"].tolist(), queries["bound"].tolist() if "bound" in queries else [float("inf")] * len(queries)
+        for start in range(0, len(queries), at_once):
+            q = np.stack(queries["v"].iloc[start : start + at_once])
+            qq = (q**2).sum(1)
+            rough = qq[:, None] + yy[None, :] - 2 * (q @ y.T)
+            most = np.minimum(np.partition(rough, k - 1, 1)[:, k - 1] if len(yy) > k else np.inf, bounds[start : start + at_once]) + 4e-9 + 1e-10 * (qq + yy.max())
+            for i, v in enumerate(q):
+                bound, near = bounds[start + i], np.flatnonzero(rough[i] <= most[i])
+                d = np.round(((y[near] - v) ** 2).sum(1), 9)
+                order = np.lexsort((first[near], d))[:k]  # a point after k others gives none of the k best
+                best = sorted((d[j], w) for j in order if d[j] <= bound for w in ids[near[j]])[:k]
+                out += [(points[start + i], w, x) for x, w in best]
     return pd.DataFrame(out, columns=["p", "w", "distance"]).astype({"p": "int64", "w": "int64", "distance": "float64"})
 
 
@@ -114,7 +124,7 @@ def open_cells(d: np.ndarray, own: np.ndarray, bound: np.ndarray, pivots: np.nda
     ``d`` are the points' distances from all pivots. A cell's points are no nearer than the cell's ring allows, and lie
     on its pivot's side of the plane between it and the pivot of the point's own cell.
     """
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2))
+    between = np.stack([np.sqrt(((pivots - p) ** 2).sum(1)) for p in pivots])
     here = d[np.arange(len(d)), own]
     plane = (d ** 2 - here[:, None] ** 2) / np.maximum(2 * between[own], 1e-300)
     least = np.maximum(np.maximum(d - radius[None, :, 1], radius[None, :, 0] - d), np.where(between[own] > 0, plane, 0.0))
@@ -136,7 +146,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048,
     point lies in the cell of its nearest pivot. It first meets its own cell, which bounds its last distance; a second
     round sends it to those cells alone that the triangle inequality leaves within that bound (``open_cells``). Cells meet in
     blocks of about ``block`` points, two blocks a task, so no task holds a cell. Without clusters (many dimensions, no
-    structure) the bounds leave all cells, and the work grows with the square of the points.
+    structure) the bounds leave most cells: then, as soon as it sends fewer copies of points, all pairs of blocks are compared, four
+    times as large, and the work grows with the square of the points, the memory of a task does not.
 
     Every task gets the ``pivots`` (the root of the number of points by default, at most 1,024 and 16 MB) and three numbers
     of each cell. Rows with a null id or vector take no part; vectors have one length and ids are distinct.
@@ -147,7 +158,13 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int, block: int = 2048,
         return df.sparkSession.createDataFrame([], "u long, w long, distance double")
     cells = PivotCells(points, pivots, block, seed)
     near = staged(_best(_in_own_cell(cells, k + 1), k + 1).drop("_k"))
-    found = _best(near.union(_in_open_cells(cells, near, k + 1, block)), k + 1)
+    sizes = _visits_of_cells(cells, near, k + 1)
+    n, wide = int(cells.count.sum()), 4 * block
+    if int((sizes * cells.subs).sum()) > n * -(-n // wide):
+        every = PivotCells(points, 1, wide, seed)
+        found = _best(_in_own_cell(every, k + 1), k + 1)
+    else:
+        found = _best(near.union(_in_open_cells(cells, near, sizes, k + 1, block)), k + 1)
     lists = rows.join(points.select("p", "v"), "v").select("u", "p").join(found.select("p", "w", "distance"), "p").where("u <> w")
     rank = F.row_number().over(Window.partitionBy("u").orderBy("distance", "w"))
     return lists.withColumn("_k", rank).where(F.col("_k") <= k).select("u", "w", "distance")
@@ -171,26 +188,56 @@ def _in_own_cell(cells: PivotCells, k: int) -> DataFrame:
     return pairs.groupBy("cell", "i", "j").applyInPandas(run, "p long, w long, distance double")
 
 
-def visits(cells: PivotCells, near: DataFrame, k: int) -> DataFrame:
-    """(cell, p, v) of each point with each further cell that it must meet, given its candidates so far."""
+SENT = 4096  # visits of one batch
+
+
+def _open(pdf: pd.DataFrame, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of ``pdf`` a few at a time, so that with all pivots they stay small, with the cells open to each."""
+    step = max(1, (1 << 18) // max(1, len(count)))
+    for start in range(0, len(pdf), step):
+        part = pdf.iloc[start : start + step]
+        yield part, open_cells(distances(part["v"], pivots), part["cell"].to_numpy(), part["bound"].to_numpy(), pivots, radius, count)
+
+
+def _bounded(cells: PivotCells, near: DataFrame, k: int) -> DataFrame:
     last = near.groupBy("p").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("bound"))
-    matrix, radius, count = cells.pivots, cells.radius, cells.count
+    return cells.points.join(last, "p").select("p", "v", "cell", "bound")
+
+
+def visits(cells: PivotCells, near: DataFrame, k: int) -> DataFrame:
+    """(cell, p, v, bound) of each point with each further cell that it must meet, given its candidates so far."""
+    known = cells.pivots, cells.radius, cells.count
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, cell = np.nonzero(open_cells(distances(pdf["v"], matrix), pdf["cell"].to_numpy(), pdf["bound"].to_numpy(), matrix, radius, count))
-            yield pd.DataFrame({"cell": cell.astype("int32"), "p": pdf["p"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+            for part, left in _open(pdf, *known):
+                at, cell = np.nonzero(left)
+                for i in range(0, len(at), SENT):  # a point's vector goes to every cell: a batch of all would be as large
+                    own = at[i : i + SENT]
+                    yield pd.DataFrame({"cell": cell[i : i + SENT].astype("int32"), **{c: part[c].to_numpy()[own] for c in ("p", "v", "bound")}})
+
+    return _bounded(cells, near, k).mapInPandas(run, "cell int, p long, v array<double>, bound double")
+
 
-    return cells.points.join(last, "p").select("p", "v", "cell", "bound").mapInPandas(run, "cell int, p long, v array<double>")
+def _visits_of_cells(cells: PivotCells, near: DataFrame, k: int) -> np.ndarray:
+    """How many points each cell will be met by; no vector is sent for that."""
+    known = cells.pivots, cells.radius, cells.count
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = sum((left.sum(0) for _, left in _open(pdf, *known)), np.zeros(len(known[2]), np.int64))
+            yield pd.DataFrame({"cell": np.flatnonzero(n).astype("int32"), "n": n[n > 0].astype("int64")})
 
-def _in_open_cells(cells: PivotCells, near: DataFrame, k: int, block: int) -> DataFrame:
-    asks = staged(visits(cells, near, k))
     sizes = np.zeros(len(cells.count), np.int64)
-    for r in asks.groupBy("cell").count().collect():  # a row for each pivot
-        sizes[r["cell"]] = r["count"]
+    counted = _bounded(cells, near, k).mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # a row for each pivot
+        sizes[r["cell"]] = r["n"]
+    return sizes
+
+
+def _in_open_cells(cells: PivotCells, near: DataFrame, sizes: np.ndarray, k: int, block: int) -> DataFrame:
     chunks = np.maximum(1, -(-sizes // block))
-    asks = asks.withColumns({"chunk": F.pmod(F.xxhash64("p"), cells.of_cell(chunks)).cast("int"), "sub": F.explode(F.sequence(F.lit(0), cells.of_cell(cells.subs) - 1))})
+    asks = visits(cells, near, k).withColumns({"chunk": F.pmod(F.xxhash64("p"), cells.of_cell(chunks)).cast("int"), "sub": F.explode(F.sequence(F.lit(0), cells.of_cell(cells.subs) - 1))})
     members = cells.dealt().where(cells.of_cell(sizes) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), cells.of_cell(chunks) - 1)))
     key = ["cell", "sub", "chunk"]
     return asks.groupBy(*key).cogroup(members.select(*key, "p", "v", "ids").groupBy(*key)).applyInPandas(lambda a, b: _compare(a, b, k), "p long, w long, distance double")

@@ -1,8 +1,10 @@
 """Nearest neighbours by pivots against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from ewpanel.operators import retrieval
 from ewpanel.operators.retrieval import PivotCells, _best, _in_own_cell, _points_of, nearest, visits
 
 
@@ -45,3 +47,18 @@ def test_clusters_are_compared_among_themselves(spark):
     asked = {r["cell"]: r["count"] for r in visits(cells, near, k).groupBy("cell").count().collect()}
     compared = int((cells.count.astype(float) ** 2).sum()) + sum(m * int(cells.count[c]) for c, m in asked.items())
     assert cells.count.sum() == n and compared < n * n / 10
+
+
+def test_points_without_clusters_are_compared_in_blocks(spark, monkeypatch):
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(5).normal(size=(500, 24)).round(3).tolist())]
+    monkeypatch.setattr(retrieval, "visits", None)  # a copy of a point for each cell is not made
+    assert sorted(map(tuple, nearest(spark.createDataFrame(rows, "id long, x array<double>"), "id", "x", 7, block=64).collect())) == brute(rows, 7)
+
+
+def test_a_batch_of_visits_stays_small(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.random.default_rng(5).normal(size=(2000, 24)).tolist())], "id long, x array<double>").coalesce(1)
+    cells = PivotCells(_points_of(df.selectExpr("id u", "x v"), 8), None, 2048, 7)
+    near = _best(_in_own_cell(cells, 8), 8).drop("_k")
+    assert retrieval._visits_of_cells(cells, near, 8).sum() == visits(cells, near, 8).count() > 10 * 2000
+    sizes = visits(cells, near, 8).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert sizes.agg({"n": "max"}).first()[0] <= 10000
