@@ -39,8 +39,9 @@ def coded_panel(events: DataFrame, entity: str = "country", day: str = "day") ->
     pairs = keyed.select(entity, "week", *side("actor1"), *side("actor2")).groupBy(entity, "week", "actor1", "actor2").agg(F.bool_or("_actor1").alias("_actor1"), F.bool_or("_actor2").alias("_actor2"))
     who = pairs.select(entity, "week", F.explode(F.array(*[F.when(F.col(f"_{c}"), F.col(c)) for c in ("actor1", "actor2")])).alias("actor"))
     actors = who.where("actor is not null").distinct().groupBy(entity, "week").agg(F.count(F.lit(1)).alias("distinct_actors"))
-    out = counts.join(pairs.groupBy(entity, "week").agg(F.count(F.lit(1)).alias("n_actor_pairs")), [entity, "week"]).join(actors, [entity, "week"], "left")
-    return out.withColumn("distinct_actors", F.coalesce("distinct_actors", F.lit(0)))
+    n_pairs = pairs.groupBy(F.col(entity).alias("_entity"), F.col("week").alias("_week")).agg(F.count(F.lit(1)).alias("n_actor_pairs"))
+    out = counts.join(n_pairs, F.col(entity).eqNullSafe(F.col("_entity")) & F.col("week").eqNullSafe(F.col("_week"))).drop("_entity", "_week")  # weeks without a day stay
+    return out.join(actors, [entity, "week"], "left").withColumn("distinct_actors", F.coalesce("distinct_actors", F.lit(0)))
 
 
 def dense(panel: DataFrame, entity: str, period: str, zero: list[str]) -> DataFrame:
