@@ -225,7 +225,7 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     model = docs.sparkSession.sparkContext.broadcast(CrossParser(samples)) if samples else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_col, 4 << 20):
+        for batch in text_slices(batches, text_col, 1 << 20):
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
                 parser = model.value
